@@ -19,8 +19,8 @@ from arzyab.functions.text import fold, fold_chars
 
 FIELDS = ("price_value", "credit_value", "rent_value")
 # Amount words and unit words of remarks, and subjects that are not the ad's amounts.
-AMOUNT = r"(?:مبلغ|مبالغ|قیمت|رقم|ارقام|اعداد|واحد پول|نرخ|amounts?|prices?|figures?|values?|numbers?)"
-UNIT = r"(?:(?:هزار|میلیون|میلیارد|thousands?|millions?|billions?|mln|bn)(?: of)? ?)?(?:تومان|تومن|ریال|tomans?|rials?|irr)"
+AMOUNT = r"(?<!\p{L})(?:مبلغ|مبالغ|قیمت|رقم|ارقام|اعداد|واحد پول|نرخ|amounts?|prices?|figures?|values?|numbers?)"
+UNIT = r"(?<!\p{L})(?:(?:هزار|میلیون|میلیارد|thousands?|millions?|billions?|mln|bn)(?: of)? ?)?(?:تومان|تومن|ریال|tomans?|rials?|irr)"
 OTHER = r"وام|بودجه|شارژ|اقساط|loan|budget|charge"
 STOP = r"[^0-9\n.;|/()\[\]•،,!?؟-]"
 # log10 of (amount as written / amount in toman) of known units; a year's rent is twelve months'.
@@ -29,10 +29,11 @@ KNOWN = (0.0, 1.0, -3.0, -6.0, -9.0, -2.0, -5.0, -8.0)
 
 
 def remark(description: Column) -> Column:
-    """The remark of an ad on its own amounts (folded), '' if there is none."""
+    """The remark of an ad on its own amounts, '' if there is none: its amount word and its unit, so wordings stay few."""
     text = fold_chars(description)
     found = F.regexp_extract(text, rf"({AMOUNT}{STOP}{{0,60}}?{UNIT}|{UNIT}{STOP}{{0,30}}?{AMOUNT})", 1)
-    return F.coalesce(F.when(found.rlike(OTHER), F.lit("")).otherwise(found), F.lit(""))
+    short = F.concat(F.regexp_extract(found, AMOUNT, 0), F.lit(": "), F.regexp_extract(found, UNIT, 0))
+    return F.coalesce(F.when((found == "") | found.rlike(OTHER), F.lit("")).otherwise(short), F.lit(""))
 
 
 def wording(value: Column) -> Column:
@@ -60,7 +61,7 @@ def named_unit(words: Column, rent: Column) -> Column:
     billion = words.rlike(r"میلیارد|billion|\bbn\b|# ?b\b")
     million = words.rlike(r"میلیون|million|\bmln\b|م ?\. ?ت|# ?م( |$)|# ?m\b")
     thousand = words.rlike(r"هزار|thousand|# ?k\b")
-    rial = words.rlike(r"ریال|\brials?\b|\brls\b|\birr\b")
+    rial = words.rlike(r"(?<!\p{L})ریال|\brials?\b|\brls\b|\birr\b")
     toman = words.rlike(r"تومان|تومن|\btomans?\b|م ?\. ?ت|\birt\b")
     year = words.rlike(r"سالانه|سالیانه|در سال|per year|yearly|annual|/ ?year")
     scale = F.when(billion, -9.0).when(million, -6.0).when(thousand, -3.0).otherwise(0.0)
