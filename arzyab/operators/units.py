@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arzyab.functions.session import written
 from arzyab.functions.text import fold, fold_chars
 
 FIELDS = ("price_value", "credit_value", "rent_value")
@@ -146,10 +147,10 @@ def unit_changes(cells: DataFrame, tolerance: float = 0.45, strength: float = 3.
 def marked_amounts(listings: DataFrame) -> DataFrame:
     """Every amount with its unit: source_row_id, field_name, number, wording, unit (log10 written/toman), confirmed, toman.
 
-    Two shuffles: compact cells, and none for the rows, as the cells' units (bounded by kinds x fields x wordings x months) are
+    The amounts are written once; only compact cells are shuffled, as the cells' units (bounded by kinds x fields x wordings x months) are
     joined back. A zero amount is zero in any unit. NULL, blank and non-numeric fields have no row. Empty table: no rows.
     """
-    rows = amounts(listings)
+    rows = written(amounts(listings))  # the descriptions are read once
     value = F.log10(F.col("number") / F.coalesce(F.col("size"), F.lit(1.0)))
     keys = ["kind", "field_name", "wording", "month"]
     sized = rows.where("number > 0")
