@@ -70,6 +70,14 @@ def given_sql(name: str) -> str:
     return rf"CASE WHEN {t} IN ({words}) OR NOT regexp_matches({t}, '[\p{{L}}\p{{N}}]') THEN NULL ELSE {t} END"
 
 
+def plain_characters(c: Column) -> Column:
+    """Whether a text has only ASCII, Persian letters and digits, U+200C, precomposed Latin and Cyrillic letters and common marks.
+
+    Such text can still mix scripts in a word or misplace U+200C; matching patterns of whole words against it needs no folding.
+    """
+    return c.rlike(r"^[\n -~آابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیءأإؤئۀ۰-۹À-ÖØ-öø-ÿ،؛؟«»–—]*$")
+
+
 def persian_words(c: Column) -> Column:
     """Basic cleaning of a text column that is kept: Persian spelling of two letters, white space to single spaces, trimmed."""
     return F.trim(F.regexp_replace(F.translate(c, "يكئ", "یکئ"), r"(?U)\s+", " "))

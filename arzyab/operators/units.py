@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arzyab.functions.session import written
-from arzyab.functions.text import fold, fold_chars
+from arzyab.functions.text import fold, fold_chars, plain_characters
 
 FIELDS = ("price_value", "credit_value", "rent_value")
 # Amount words and unit words of remarks, and subjects that are not the ad's amounts.
 AMOUNT = r"(?<!\p{L})(?:مبلغ|مبالغ|قیمت|رقم|ارقام|اعداد|واحد پول|نرخ|amounts?|prices?|figures?|values?|numbers?)"
 UNIT = r"(?<!\p{L})(?:(?:هزار|میلیون|میلیارد|thousands?|millions?|billions?|mln|bn)(?: of)? ?)?(?:تومان|تومن|ریال|tomans?|rials?|irr)"
 OTHER = r"وام|بودجه|شارژ|اقساط|loan|budget|charge"
-STOP = r"[^0-9\n.;|/()\[\]•،,!?؟-]"
+STOP = r"[^0-9۰-۹\n.;|/()\[\]•،,!?؟-]"
 # log10 of (amount as written / amount in toman) of known units; a year's rent is twelve months'.
 YEAR = float(np.log10(12))
 KNOWN = (0.0, 1.0, -3.0, -6.0, -9.0, -2.0, -5.0, -8.0)
@@ -31,7 +31,8 @@ KNOWN = (0.0, 1.0, -3.0, -6.0, -9.0, -2.0, -5.0, -8.0)
 
 def remark(description: Column) -> Column:
     """The remark of an ad on its own amounts, '' if there is none: its amount word and its unit, so wordings stay few."""
-    text = fold_chars(description)
+    # Texts of plain characters need no folding; the others are rare.
+    text = F.when(plain_characters(description), F.lower(description)).otherwise(fold_chars(description))
     found = F.regexp_extract(text, rf"({AMOUNT}{STOP}{{0,60}}?{UNIT}|{UNIT}{STOP}{{0,30}}?{AMOUNT})", 1)
     short = F.concat(F.regexp_extract(found, AMOUNT, 0), F.lit(": "), F.regexp_extract(found, UNIT, 0))
     return F.coalesce(F.when((found == "") | found.rlike(OTHER), F.lit("")).otherwise(short), F.lit(""))
@@ -90,6 +91,26 @@ def amounts(listings: DataFrame) -> DataFrame:
     ).where(F.col("number").isNotNull())
 
 
+def stated_toman(field: str, description: Column) -> Column:
+    """A field's amount in whole toman by the unit that its wording or the ad's remark names; NULL without an amount.
+
+    The row-wise part of ``marked_amounts``, for operators that need a price beside other work on the same rows.
+    """
+    value = fold(F.col(field))
+    rent = F.lit(field == "rent_value")
+    bare = F.regexp_replace(wording(value), r"[#\s+\-]", "") == ""
+    unit = F.when(bare, F.coalesce(named_unit(remark(description), rent), F.lit(0.0))).otherwise(F.coalesce(named_unit(wording(value), rent), F.lit(0.0)))
+    return F.when(value.rlike(r"\d"), toman(number(value), unit))
+
+
+def toman(amount: Column, unit: Column) -> Column:
+    """An amount in whole toman. Powers of ten by exact doubles; a year's rent by twelve."""
+    yearly = F.abs(unit - F.round(unit)) > 0.01
+    whole = F.round(F.when(yearly, unit - YEAR).otherwise(unit)).cast("int")
+    factor = F.when(whole > 0, 1.0 / F.pow(F.lit(10.0), whole)).otherwise(F.pow(F.lit(10.0), -whole))
+    return F.round(F.when(yearly, amount * factor / 12).otherwise(amount * factor)).cast("long")
+
+
 def changepoints(n: np.ndarray, s: np.ndarray, q: np.ndarray, penalty: float) -> list[int]:
     """Starts of the segments that minimise (squared error within segments + penalty per segment), found exactly.
 
@@ -157,12 +178,7 @@ def marked_amounts(listings: DataFrame) -> DataFrame:
     cells = sized.groupBy(*keys, "named").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(value * value).alias("q"))
     units = unit_changes(cells).dropDuplicates(keys)
     unit = F.coalesce(F.col("unit"), F.lit(0.0))
-    # Powers of ten by division or multiplication with exact doubles; a year's rent by twelve.
-    yearly = F.abs(unit - F.round(unit)) > 0.01
-    whole = F.round(F.when(yearly, unit - YEAR).otherwise(unit)).cast("int")
-    factor = F.when(whole > 0, 1.0 / F.pow(F.lit(10.0), whole)).otherwise(F.pow(F.lit(10.0), -whole))
-    toman = F.round(F.when(yearly, F.col("number") * factor / 12).otherwise(F.col("number") * factor)).cast("long")
-    return rows.join(units, keys, "left").select("source_row_id", "field_name", "number", "wording", unit.alias("unit"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), toman.alias("toman"))
+    return rows.join(units, keys, "left").select("source_row_id", "field_name", "number", "wording", unit.alias("unit"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), toman(F.col("number"), unit).alias("toman"))
 
 
 def not_plain(listings: DataFrame) -> DataFrame:
