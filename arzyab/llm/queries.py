@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arzyab.llm import mixing, normalize, packing, quantiles
+from arzyab.llm import mixing, neardup, normalize, packing, quantiles
 from arzyab.operators import units
 from arzyab.sources.tables import table
 
@@ -41,6 +41,14 @@ def p5_listing_percentiles(spark, d):
     return quantiles.sketch_percentiles(quantiles.bucket_sketch(where.join(prices, "source_row_id"), ["city_slug", "month"], "toman"), ["city_slug", "month"])
 
 
+def p7_found(spark, d):
+    return neardup.pairs_found(table(spark, d, "listings"))
+
+
+def p7_offers(spark, d):
+    return neardup.offer_groups(table(spark, d, "listings"))
+
+
 def p8_containers(spark, d):
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
 
@@ -57,7 +65,7 @@ def p9_shares(spark, d):
     return mixing.share_report(p9_mix(spark, d), table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p5_observed_percentiles, p5_city_percentiles, p5_listing_percentiles, p8_containers, p8_fill, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p5_observed_percentiles, p5_city_percentiles, p5_listing_percentiles, p7_found, p7_offers, p8_containers, p8_fill, p9_mix, p9_shares)}
 
 _LAST = "SELECT city_slug, analysis_month, price_value_toman FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY received_at DESC NULLS LAST, price_value_toman DESC NULLS LAST, city_slug DESC NULLS LAST, analysis_month DESC NULLS LAST) AS k FROM price_observations) WHERE k = 1"
 SQL = {
