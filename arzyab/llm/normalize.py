@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
@@ -106,28 +107,42 @@ def normalised(text: str | None) -> str | None:
             return text
 
 
-# The JVM's test that a text is surely consistent, so only the others go to Python. Letters whose NFKC is themselves.
-_FA, _LA, _CY = LETTERS, "A-Za-zÀ-ÖØ-öø-ÿ", "А-Яа-яЁё"
-_SURE = rf"^[\n -~{_FA}۰-۹{_LA}{_CY}\u200c،؛؟«»–—]*$"
-_UNSURE = rf"(?:^|[^{_FA}])\u200c|\u200c(?:[^{_FA}]|$)|[{_LA}][0-9۰-۹_]*[{_FA}{_CY}]|[{_FA}{_CY}][0-9۰-۹_]*[{_LA}]"
+# A quick test for texts that are surely consistent: characters whose NFKC is themselves, U+200C between Persian letters only, and
+# no run of Latin letters and digits that touches another letter. Only the others are taken apart.
+_SURE = re.compile(f"[\n -~{LETTERS}۰-۹À-ÖØ-öø-ÿА-Яа-яЁё\u200c،؛؟«»–—]*")
+_RUN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9۰-۹_]+")
+_FA = frozenset(LETTERS)
 
 
-def doubtful(c: Column) -> Column:
-    """Whether ``c`` needs a closer look; FALSE only for consistent text and NULL."""
-    return F.coalesce(~c.rlike(_SURE) | c.rlike(_UNSURE), F.lit(False))
+def surely_consistent(text: str) -> bool:
+    if text.isascii():
+        return _SURE.fullmatch(text) is not None
+    if not _SURE.fullmatch(text):
+        return False
+    at = text.find(ZWNJ)
+    while at >= 0:
+        if at == 0 or at + 1 == len(text) or text[at - 1] not in _FA or text[at + 1] not in _FA:
+            return False
+        at = text.find(ZWNJ, at + 1)
+    for m in _RUN.finditer(text):
+        i, j = m.span()
+        if (i and text[i - 1].isalpha() or j < len(text) and text[j].isalpha()) and any(c.isalpha() for c in m[0]):
+            return False
+    return True
 
 
-def _series(texts: pd.Series) -> pd.Series:
-    return texts.map(normalised, na_action="ignore")
+def consistent_text(text: str | None) -> str | None:
+    """``normalised``, by the short way where the text is surely consistent."""
+    return text if text is None or surely_consistent(text) else normalised(text)
 
 
-def _normalised(c: Column) -> Column:
-    return F.pandas_udf(_series, "string")(c)
+def _forms(texts: pd.Series) -> pd.Series:
+    return texts.map(consistent_text, na_action="ignore")
 
 
 def consistent_form(c: Column) -> Column:
-    """``c`` in consistent form; texts that are surely consistent don't leave the JVM."""
-    return F.coalesce(_normalised(F.when(doubtful(c), c)), c)
+    """``c`` in consistent form."""
+    return F.pandas_udf(_forms, "string")(c)
 
 
 def normalise_fields(listings: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -141,5 +156,12 @@ def normalise_fields(listings: DataFrame, fields: tuple[str, ...] = FIELDS) -> D
 
 def inconsistent_fields(listings: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One row (source_row_id, field_name) for each field that is not in consistent form. No shuffle."""
-    long = listings.select("source_row_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x")).select("source_row_id", "x.*").where(doubtful(F.col("text")))
-    return long.where(_normalised(F.col("text")) != F.col("text")).select("source_row_id", "field_name")
+
+    def cases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for f in fields:
+                text = pdf[f]
+                changed = [t is not None and not surely_consistent(t) and normalised(t) != t for t in text]
+                yield pd.DataFrame({"source_row_id": pdf.loc[changed, "source_row_id"], "field_name": f})
+
+    return listings.select("source_row_id", *fields).mapInPandas(cases, "source_row_id long, field_name string")

@@ -65,7 +65,7 @@ def p9_shares(spark, d):
     return mixing.share_report(p9_mix(spark, d), table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p5_observed_percentiles, p5_city_percentiles, p5_listing_percentiles, p7_found, p7_offers, p8_containers, p8_fill, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p5_listing_percentiles, p5_observed_percentiles, p5_city_percentiles, p7_found, p7_offers, p8_containers, p8_fill, p9_mix, p9_shares)}
 
 _LAST = "SELECT city_slug, analysis_month, price_value_toman FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY received_at DESC NULLS LAST, price_value_toman DESC NULLS LAST, city_slug DESC NULLS LAST, analysis_month DESC NULLS LAST) AS k FROM price_observations) WHERE k = 1"
 SQL = {
