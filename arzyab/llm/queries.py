@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arzyab.llm import mixing, neardup, normalize, packing, quantiles
+from arzyab.llm import language, mixing, neardup, normalize, packing, quantiles
 from arzyab.operators import units
 from arzyab.sources.tables import table
 
@@ -65,7 +65,23 @@ def p9_shares(spark, d):
     return mixing.share_report(p9_mix(spark, d), table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p5_listing_percentiles, p5_observed_percentiles, p5_city_percentiles, p7_found, p7_offers, p8_containers, p8_fill, p9_mix, p9_shares)}
+def _language_model(spark, d):
+    return language.train(table(spark, d, "lang_samples"), table(spark, d, "documents"))
+
+
+def p10_found(spark, d):
+    return language.languages_to_report(table(spark, d, "documents"), _language_model(spark, d))
+
+
+def p10_documents(spark, d):
+    return language.document_languages(table(spark, d, "documents"), _language_model(spark, d))
+
+
+def p10_segments(spark, d):
+    return language.language_segments(table(spark, d, "documents"), _language_model(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p5_listing_percentiles, p5_observed_percentiles, p5_city_percentiles, p7_found, p7_offers, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
 
 _LAST = "SELECT city_slug, analysis_month, price_value_toman FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY received_at DESC NULLS LAST, price_value_toman DESC NULLS LAST, city_slug DESC NULLS LAST, analysis_month DESC NULLS LAST) AS k FROM price_observations) WHERE k = 1"
 SQL = {
