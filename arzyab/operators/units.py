@@ -80,27 +80,28 @@ def amounts(listings: DataFrame) -> DataFrame:
         F.coalesce(F.substring(F.col("created_at_month"), 1, 7), F.lit("")).alias("month"), F.when(size > 0, size).alias("size"), about.alias("about"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), fold(F.col(f)).alias("text")) for f in FIELDS])).alias("x"),
     ).select("*", "x.field_name", "x.text").where(F.col("text").rlike(r"\d"))
-    rent = F.col("field_name") == "rent_value"
-    own = named_unit(wording(F.col("text")), rent)
-    bare = F.regexp_replace(wording(F.col("text")), r"[#\s+\-]", "") == ""
-    # The field speaks first; a period in the field does not name the currency, so the remark still counts for a bare number only.
-    return long.select(
-        "source_row_id", "field_name", "kind", "month", "size", number(F.col("text")).alias("number"),
-        F.when(bare, F.col("about")).otherwise(wording(F.col("text"))).alias("wording"),
-        F.when(bare, F.coalesce(named_unit(F.col("about"), rent), F.lit(0.0))).otherwise(own).alias("named"),
-    ).where(F.col("number").isNotNull())
+    # Layer by layer: each expression would otherwise be repeated inside all that use it.
+    step = long.select("source_row_id", "field_name", "kind", "month", "size", "about", number(F.col("text")).alias("number"), wording(F.col("text")).alias("own")).where(F.col("number").isNotNull())
+    step = step.select("*", (F.regexp_replace("own", r"[#\s+\-]", "") == "").alias("bare"))
+    # The field speaks first; the remark counts for a bare number only.
+    step = step.select("*", F.when(F.col("bare"), F.col("about")).otherwise(F.col("own")).alias("wording"))
+    named = named_unit(F.col("wording"), F.col("field_name") == "rent_value")
+    return step.select("source_row_id", "field_name", "kind", "month", "size", "number", "wording", F.when(F.col("bare"), F.coalesce(named, F.lit(0.0))).otherwise(named).alias("named"))
 
 
-def stated_toman(field: str, description: Column) -> Column:
-    """A field's amount in whole toman by the unit that its wording or the ad's remark names; NULL without an amount.
+def with_stated_toman(df: DataFrame, field: str, name: str) -> DataFrame:
+    """``df`` with a field's amount in whole toman by the unit that its wording or the ad's remark names; NULL without an amount.
 
-    The row-wise part of ``marked_amounts``, for operators that need a price beside other work on the same rows.
+    The row-wise part of ``marked_amounts``, for operators that need a price beside other work on the same rows. It is done in
+    layers, as each expression would otherwise be repeated inside all that use it.
     """
-    value = fold(F.col(field))
     rent = F.lit(field == "rent_value")
-    bare = F.regexp_replace(wording(value), r"[#\s+\-]", "") == ""
-    unit = F.when(bare, F.coalesce(named_unit(remark(description), rent), F.lit(0.0))).otherwise(F.coalesce(named_unit(wording(value), rent), F.lit(0.0)))
-    return F.when(value.rlike(r"\d"), toman(number(value), unit))
+    step = df.select("*", fold(F.col(field)).alias("u_text"))
+    step = step.select("*", wording(F.col("u_text")).alias("u_words"), number(F.col("u_text")).alias("u_number"))
+    step = step.select("*", (F.regexp_replace("u_words", r"[#\s+\-]", "") == "").alias("u_bare"))
+    step = step.select("*", F.when(F.col("u_bare"), remark(F.col("description"))).otherwise(F.col("u_words")).alias("u_said"))
+    step = step.select("*", F.coalesce(named_unit(F.col("u_said"), rent), F.lit(0.0)).alias("u_unit"))
+    return step.select(*df.columns, toman(F.col("u_number"), F.col("u_unit")).alias(name))
 
 
 def toman(amount: Column, unit: Column) -> Column:
