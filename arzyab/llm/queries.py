@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arzyab.llm import language, mixing, neardup, normalize, packing, quantiles
+from arzyab.llm import language, mixing, neardup, normalize, packing, pii, quantiles
 from arzyab.operators import units
 from arzyab.sources.tables import table
 
@@ -17,6 +17,14 @@ def p2_normalised(spark, d):
     return normalize.normalise_fields(table(spark, d, "listings"))
 
 
+def p3_found(spark, d):
+    return pii.pii_types(table(spark, d, "listings"))
+
+
+def p3_masked(spark, d):
+    return pii.mask_descriptions(table(spark, d, "listings"))
+
+
 def observed_prices(spark, d):
     """Each observation once: the delivery received last (of equal ones the larger price)."""
     rows = table(spark, d, "price_observations").select("observation_id", "received_at", "city_slug", "analysis_month", "price_value_toman")
@@ -81,7 +89,7 @@ def p10_segments(spark, d):
     return language.language_segments(table(spark, d, "documents"), _language_model(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p5_listing_percentiles, p5_observed_percentiles, p5_city_percentiles, p7_found, p7_offers, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p3_found, p3_masked, p5_listing_percentiles, p5_observed_percentiles, p5_city_percentiles, p7_found, p7_offers, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
 
 _LAST = "SELECT city_slug, analysis_month, price_value_toman FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY received_at DESC NULLS LAST, price_value_toman DESC NULLS LAST, city_slug DESC NULLS LAST, analysis_month DESC NULLS LAST) AS k FROM price_observations) WHERE k = 1"
 SQL = {
