@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arzyab.plans import problems
+from arzyab.plans import problems, relational
 
-MODULES = (problems,)
+MODULES = (problems, relational)
 
 
 def queries() -> dict:
