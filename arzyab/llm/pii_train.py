@@ -20,6 +20,8 @@ from arzyab.llm.tagger import Tagger, fit
 FA = "ابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیء"
 FAMILY = rf"[{FA}]+(?:خواه|پور|منش|زاده|نژاد|نیا|فر)(?![{FA}])"
 TITLE = r"(?:سرکار خانم|جناب اقای|اقای|خانم|جناب|مهندس|دکتر)"
+# What stands before the name of an agency or place.
+PLACE = r"(?:املاک|مشاور|بنگاه|دفتر|شرکت|برج|مجتمع|پارک|کتابخانه|پاساژ|پروژه|شهرک|باغ|گروه) "
 PATTERNS = (
     ("email", re.compile(r"(?<![a-z0-9._+\-])([a-z0-9._+\-]+ ?(?:@|\(at\)|\[at\]) ?[a-z0-9\-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[a-z0-9\-]+)+)")),
     ("phone", re.compile(r"(?<![0-9/\-])((?:\+ ?98|0 ?0 ?9 ?8|\(0|0)(?:[ .\-()]{0,2}[0-9]){8,12})(?![0-9])")),
@@ -28,7 +30,7 @@ PATTERNS = (
     ("street_address", re.compile(r"((?:خیابان|بلوار|کوی|میدان|کوچه) (?:(?!خیابان|بلوار|کوی )[^\n./\-]){0,60}?پلاک [0-9]+(?:[ ,]+(?:واحد|زنگ|طبقه) [0-9]+)?)")),
     ("street_address", re.compile(r"((?:no\.? ?)?[0-9]+,? [a-z]+ (?:street|alley|avenue|boulevard|lane|road|square)(?:, unit [0-9]+)?)")),
     ("person_name", re.compile(rf"{TITLE} ((?:[{FA}]+ )?{FAMILY})")),
-    ("person_name", re.compile(rf"(?:(?:^|[ \n])با|نزد|مالک:) ([{FA}]+ {FAMILY})")),
+    ("person_name", re.compile(rf"(?:(?:^|[ \n])با|نزد|مالک:) (?!{PLACE})([{FA}]+ {FAMILY})")),
     ("person_name", re.compile(r"(?:\b(?:mr|mrs|ms|dr)\.? |owner )([a-z]+ [a-z]+)")),
 )
 NOT_BEFORE = re.compile(r"(?:اگهی|سند|پرونده ثبتی|پرونده)[ :]*$")
