@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arzyab.functions.session import written
+
 
 def average_rank(value: str, keys: list[str]) -> Column:
     """Rank with ties sharing the mean of their places; NULL for NULL."""
@@ -44,3 +46,22 @@ def share_within(value: str, keys: list[str]) -> Column:
 def cut_two(value: Column, first: float, second: float, labels: tuple[str, str, str]) -> Column:
     """Right-closed bins with two cut points; NULL stays NULL."""
     return F.when(value <= first, F.lit(labels[0])).when(value <= second, F.lit(labels[1])).when(value.isNotNull(), F.lit(labels[2]))
+
+
+def running_total(counts: DataFrame, order: str, n: str, name: str = "before") -> DataFrame:
+    """``counts`` with the sum of n over all rows with a smaller ``order``; order values are distinct.
+
+    A global prefix sum without a one-task window: rows are range-partitioned and written, each partition's total (one number a
+    partition) is summed on the driver, and each partition adds its own offset.
+    """
+    parts = written(counts.repartitionByRange(order).withColumn("part_", F.spark_partition_id()))
+    totals = sorted((r.part_, r.t or 0) for r in parts.groupBy("part_").agg(F.sum(n).alias("t")).collect())
+    offsets, run = [], 0
+    for p, t in totals:
+        offsets.append((p, run))
+        run += t
+    if not offsets:
+        return parts.drop("part_").withColumn(name, F.lit(0))
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in offsets for x in pair]), F.col("part_"))
+    w = Window.partitionBy("part_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn(name, offset + F.coalesce(F.sum(n).over(w), F.lit(0))).drop("part_")

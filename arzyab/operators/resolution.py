@@ -54,5 +54,5 @@ def resolve_listings(df: DataFrame, raw: list[str], month: Column, area: Column,
         high.alias("high_flag"), (high & (F.col("source_row_id") != F.col("high_first"))).alias("high_excess_flag"), cross.alias("cross_month_flag"),
         F.coalesce("cross_months", F.lit(1)).alias("cross_month_count"),
         F.when(exact, "exact").when(high, "high").when(medium, "medium").otherwise("none").alias("confidence"),
-        ~((exact & (F.col("source_row_id") != F.col("exact_first"))) | (high & (F.col("source_row_id") != F.col("high_first")))).alias("keep_flag"),
+        (~((exact & (F.col("source_row_id") != F.col("exact_first"))) | (high & (F.col("source_row_id") != F.col("high_first"))))).alias("keep_flag"),
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arzyab.plans import problems, relational
+from arzyab.plans import analysis, problems, relational
 
-MODULES = (problems, relational)
+MODULES = (problems, relational, analysis)
 
 
 def queries() -> dict:
