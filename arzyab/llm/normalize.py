@@ -28,7 +28,7 @@ LOOSE = {"NЍΝ", "ZЗΖ", "uцυ", "mмμ", "tтτ", "nпη", "bв-", "kкκ"}
 SPACES = re.compile(r"[^\S\n ]")
 LINES = re.compile("\r\n?|[\u2028\u2029]")
 WORD = re.compile("[\\w\u200c]+")
-NON_ASCII = re.compile(r"[^\x00-\x7f]")
+FOREIGN = re.compile("[" + "".join(map(chr, PERSIAN)) + "]")
 ZWNJ = "\u200c"
 
 
@@ -92,19 +92,20 @@ def _respell(word: str) -> str:
 
 def normalised(text: str | None) -> str | None:
     """``text`` in its one consistent form; NULL stays NULL and blank text keeps its spaces. Idempotent."""
-    if text is None:
-        return None
-    while True:
+    while text is not None:
         was = text
-        text = unicodedata.normalize("NFKC", text).translate(PERSIAN)
+        text = unicodedata.normalize("NFKC", text)
+        if FOREIGN.search(text):
+            text = text.translate(PERSIAN)
         text = _invisible().sub("", text)
         text = SPACES.sub(" ", LINES.sub("\n", text))
         if ZWNJ in text:
             text = _JOIN.sub("\0", text).replace(ZWNJ, "").replace("\0", ZWNJ)
-        if NON_ASCII.search(text):
+        if joins_scripts(text):
             text = WORD.sub(lambda m: _respell(m[0]), text)
-        if text == was:
-            return text
+        if text == was or surely_consistent(text):
+            break
+    return text
 
 
 # A quick test for texts that are surely consistent: characters whose NFKC is themselves, U+200C between Persian letters only, and
@@ -124,11 +125,16 @@ def surely_consistent(text: str) -> bool:
         if at == 0 or at + 1 == len(text) or text[at - 1] not in _FA or text[at + 1] not in _FA:
             return False
         at = text.find(ZWNJ, at + 1)
+    return not joins_scripts(text)
+
+
+def joins_scripts(text: str) -> bool:
+    """Whether a run of Latin letters and digits that has a letter touches another letter (or U+200C)."""
     for m in _RUN.finditer(text):
         i, j = m.span()
-        if (i and text[i - 1].isalpha() or j < len(text) and text[j].isalpha()) and any(c.isalpha() for c in m[0]):
-            return False
-    return True
+        if (i and (text[i - 1].isalpha() or text[i - 1] == ZWNJ) or j < len(text) and (text[j].isalpha() or text[j] == ZWNJ)) and any(c.isalpha() for c in m[0]):
+            return True
+    return False
 
 
 def consistent_text(text: str | None) -> str | None:
