@@ -16,15 +16,25 @@ def quartiles(value: str, at: tuple[float, ...] = (0.25, 0.5, 0.75), names: tupl
 def rollup_levels(df: DataFrame, period: str, levels: list[str], aggs: list[Column]) -> DataFrame:
     """One row per period and (nothing / first level / first two levels ...), with ``level`` = number of levels kept.
 
-    Each row goes to every level once, then one aggregation serves all levels. A NULL level value is data, not a total: rows of a level whose own last key is
-    NULL are left out, as they name no place, while totals above count them. NULL periods are their own group.
+    Each row goes to every level once, then one aggregation serves all levels. A NULL level value is data, not a total, and ``level``
+    tells them apart. At the finest level rows without its key are left out, as they name no place. NULL periods are their own group.
     """
     expanded = df.select("*", F.explode(F.array(*[F.lit(k) for k in range(len(levels) + 1)])).alias("level"))
     for i, name in enumerate(levels):
-        expanded = expanded.withColumn(name, F.when(F.col("level") > i, F.col(name))).where((F.col("level") != i + 1) | F.col(name).isNotNull())
+        expanded = expanded.withColumn(name, F.when(F.col("level") > i, F.col(name)))
+    if levels:
+        expanded = expanded.where((F.col("level") < len(levels)) | F.col(levels[-1]).isNotNull())
     return expanded.groupBy(period, "level", *levels).agg(*aggs)
 
 
+def named_places(df: DataFrame, levels: list[str], level: str = "level") -> DataFrame:
+    """Rows whose keys are given exactly as far as their level goes, so that each names a place."""
+    fits = F.lit(True)
+    for i, name in enumerate(levels):
+        fits &= F.col(name).isNotNull() == (F.col(level) > i)
+    return df.where(fits)
+
+
 def change_from_previous(df: DataFrame, keys: list[str], period: str, value: str, name: str, step: Column | None = None) -> DataFrame:
     """Percent change from the previous row of the key; with ``step`` (a period number) only from the directly preceding period.
 

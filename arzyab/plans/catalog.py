@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arzyab.plans import analysis, problems, relational
+from arzyab.plans import analysis, models, problems, relational
 
-MODULES = (problems, relational, analysis)
+MODULES = (problems, relational, analysis, models)
 
 
 def queries() -> dict:
