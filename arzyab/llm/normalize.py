@@ -111,7 +111,7 @@ def normalised(text: str | None) -> str | None:
 # A quick test for texts that are surely consistent: characters whose NFKC is themselves, U+200C between Persian letters only, and
 # no run of Latin letters and digits that touches another letter. Only the others are taken apart.
 _SURE = re.compile(f"[\n -~{LETTERS}۰-۹À-ÖØ-öø-ÿА-Яа-яЁё\u200c،؛؟«»–—]*")
-_RUN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9۰-۹_]+")
+_RUN = re.compile("[A-Za-zÀ-ÖØ-öø-ʸ̀-ͯᴀ-ᶿḀ-ỿⱠ-ⱿꜢ-ꟿꬰ-ꭤ0-9۰-۹_]+")
 _FA = frozenset(LETTERS)
 
 

@@ -51,7 +51,8 @@ def pack(documents: DataFrame, capacities: DataFrame, rule: str = "norm", max_do
 
     A text longer than the capacity is split into pieces of the capacity and a rest; no other text is split. NULL and empty
     texts have 0 tokens and are placed like others. A container of capacity c takes at most ceil(c * max_documents_share)
-    pieces and an attention cost of attention_share * c^2 (never less than one full piece needs). Rows with equal ids are
+    pieces and an attention cost of attention_share * c^2, or what the largest piece of its shard needs alone if that is more; with the
+    default the token capacity already implies it. Rows with equal ids are
     placed each by itself. Container ids are unique within a capacity. Empty tables give no rows.
     """
     sized = with_token_counts(documents.select("doc_id", "text"), "text", vocabulary).select("doc_id", "tokens")
@@ -69,7 +70,7 @@ def pack(documents: DataFrame, capacities: DataFrame, rule: str = "norm", max_do
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         cap = int(pdf["capacity_tokens"].iloc[0])
         pdf = pdf.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
-        bins = best_fit(pdf["tokens"].to_numpy(np.int64), cap, int(np.ceil(cap * max_documents_share)), max(attention_share, 1.0) * cap * cap if attention_share >= 1 else max(attention_share * cap * cap, float(pdf["tokens"].max()) ** 2, 1.0), rule)
+        bins = best_fit(pdf["tokens"].to_numpy(np.int64), cap, int(np.ceil(cap * max_documents_share)), max(attention_share * cap * cap, float(pdf["tokens"].max()) ** 2, 1.0), rule)
         return pdf[["capacity_id", "doc_id", "piece", "first_token", "tokens"]].assign(container_id=[f"{s}-{b}" for s, b in zip(pdf["shard"], bins)])
 
     names = "capacity_id int, container_id string, doc_id long, piece long, first_token long, tokens long"
