@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arzyab.functions.session import written
 from arzyab.functions.columns import clean_words, nearest_bin
 
 
 def digest(columns: list[str]) -> Column:
     """A key's SHA-256 over its values with NULLs kept apart from texts; its length is fixed however wide the key is."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    # Each value is preceded by its length, NULL by none, so no two keys run together to one text.
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))
 
 
 def group_flags(df: DataFrame, keys: list[Column], eligible: Column, id_column: str, name: str) -> DataFrame:
@@ -23,7 +26,8 @@ def group_flags(df: DataFrame, keys: list[Column], eligible: Column, id_column:
     The group is one grouped aggregation with partial combining, joined back on the keys' digest: a key shared by a third of all
     rows costs one row per map task, where a window would bring all its rows to one task.
     """
-    with_key = df.withColumn("k_", F.when(eligible, F.sha2(F.to_json(F.struct(*[k.alias(f"f{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"}), 256)))
+    names = [f"f{i}_" for i in range(len(keys))]
+    with_key = df.withColumns(dict(zip(names, keys))).withColumn("k_", F.when(eligible, digest(names))).drop(*names)
     groups = with_key.where("k_ IS NOT NULL").groupBy("k_").agg(F.count(F.lit(1)).alias("n_"), F.min(id_column).alias("first_")).where("n_ > 1")
     return with_key.join(groups, "k_", "left").withColumns({f"{name}_size": F.coalesce("n_", F.lit(1)), f"{name}_first": F.coalesce("first_", id_column)}).drop("k_", "n_", "first_")
 
@@ -37,11 +41,13 @@ def resolve_listings(df: DataFrame, raw: list[str], month: Column, area: Column,
 
     Only excess rows of exact and high groups lose their keep flag; the least id is kept. An empty table gives no rows.
     """
-    base = df.withColumns({"t_": clean_words(F.col("title")), "d_": clean_words(F.col("description")), "m_": month, "a_": nearest_bin(area, 5.0), "r_": rooms, "p_": nearest_bin(price, 10_000_000.0)})
+    base = df.select("source_row_id", *raw, *[c.alias(n) for n, c in (("month_", month), ("area_", area), ("rooms_", rooms), ("price_", price))])
+    base = base.withColumns({"t_": clean_words(F.col("title")), "d_": clean_words(F.col("description")), "m_": F.col("month_"), "a_": nearest_bin(F.col("area_"), 5.0), "r_": F.col("rooms_"), "p_": nearest_bin(F.col("price_"), 10_000_000.0)})
     base = base.withColumns({"x_": digest(raw), "h_": digest(["t_", "d_", *HIGH])})
     high_ok = (F.length("t_") >= 5) & (F.length("d_") >= 20) & F.col("city_slug").isNotNull() & F.col("cat3_slug").isNotNull()
     medium_ok = F.col("city_slug").isNotNull() & F.col("neighborhood_slug").isNotNull() & F.col("cat3_slug").isNotNull() & F.col("m_").isNotNull() & (F.length("t_") >= 5) & F.col("a_").isNotNull() & F.col("r_").isNotNull() & F.col("p_").isNotNull()
     narrow = base.select("source_row_id", "m_", "x_", F.when(high_ok, F.col("h_")).alias("h_"), F.when(medium_ok, digest(["m_", "city_slug", "neighborhood_slug", "cat3_slug", "user_type", "t_", "a_", "r_", "p_"])).alias("q_"))
+    narrow = written(narrow)  # texts are cleaned once; every pass below reads compact keys
     out = group_flags(narrow, [F.col("x_")], F.lit(True), "source_row_id", "exact")
     out = group_flags(out, [F.col("m_"), F.col("h_")], F.col("h_").isNotNull() & F.col("m_").isNotNull(), "source_row_id", "high")
     out = group_flags(out, [F.col("q_")], F.col("q_").isNotNull(), "source_row_id", "medium")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arzyab.functions import columns as C
 from arzyab.operators import lookup, profile, ranks, resolution, statistics, trends
 from arzyab.plans.relational import PLACED, placed_orders
-from arzyab.sources.tables import table
+from arzyab.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -162,7 +162,7 @@ RAW = "cat2_slug cat3_slug city_slug neighborhood_slug created_at_month user_typ
 
 @query(_ER.replace("RAWCOLUMNS", ", ".join(RAW.split())))
 def er_flags(spark, d):
-    df = table(spark, d, "listings")
+    df = spread(table(spark, d, "listings"))
     month = F.date_format(C.flexible_date(F.col("created_at_month")), "yyyy-MM")
     rooms = C.mapped(C.normalized_text(F.col("rooms_count")), C.ROOM_WORDS)
     return resolution.resolve_listings(df, _raw(df), month, C.numeric(F.col("building_size"), "double"), rooms, C.numeric(F.col("price_value"), "bigint"))
@@ -209,7 +209,7 @@ def domain_ranges(spark, d):
 
 @query("SELECT column_name, CAST(count(*) AS BIGINT) AS rows, CAST(count_if(v IS NULL) AS BIGINT) AS missing, count(DISTINCT v) AS distinct_values FROM (SELECT column_name, " + _NT.format("x") + " AS v FROM (FROM (SELECT * EXCLUDE (source_row_id) FROM listings) UNPIVOT INCLUDE NULLS (x FOR column_name IN (COLUMNS(*)))) t) GROUP BY 1")
 def listing_profile(spark, d):
-    df = table(spark, d, "listings")
+    df = spread(table(spark, d, "listings"))
     return profile.column_profile(df, _raw(df))
 
 

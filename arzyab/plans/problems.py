@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from arzyab.functions.text import given_sql
 from arzyab.operators import impute, missing, skew, units
-from arzyab.sources.tables import table
+from arzyab.sources.tables import spread, table
+
+
+AMOUNTS = ("source_row_id", "description", "price_value", "credit_value", "rent_value", "cat3_slug", "created_at_month", "building_size")
 
 
 def p1_found(spark, d):
@@ -28,11 +31,11 @@ def p4_filled(spark, d):
 
 
 def p6_found(spark, d):
-    return units.not_plain(table(spark, d, "listings"))
+    return units.not_plain(spread(table(spark, d, "listings"), *AMOUNTS))
 
 
 def p6_toman(spark, d):
-    return units.in_toman(table(spark, d, "listings"))
+    return units.in_toman(spread(table(spark, d, "listings"), *AMOUNTS))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_observation_prices, p1_listing_counts, p4_found, p4_filled, p6_found, p6_toman)}
