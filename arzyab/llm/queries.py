@@ -6,23 +6,28 @@ from pyspark.sql import functions as F
 
 from arzyab.llm import language, mixing, neardup, normalize, packing, pii, quantiles
 from arzyab.operators import units
-from arzyab.sources.tables import table
+from arzyab.plans.problems import AMOUNTS
+from arzyab.sources.tables import spread, table
+
+
+ADS = ("source_row_id", "title", "description", "price_value", "building_size")
+TEXTS = ("doc_id", "text", "lang")
 
 
 def p2_found(spark, d):
-    return normalize.inconsistent_fields(table(spark, d, "listings"))
+    return normalize.inconsistent_fields(spread(table(spark, d, "listings"), "source_row_id", *normalize.FIELDS))
 
 
 def p2_normalised(spark, d):
-    return normalize.normalise_fields(table(spark, d, "listings"))
+    return normalize.normalise_fields(spread(table(spark, d, "listings"), "source_row_id", *normalize.FIELDS))
 
 
 def p3_found(spark, d):
-    return pii.pii_types(table(spark, d, "listings"))
+    return pii.pii_types(spread(table(spark, d, "listings"), "source_row_id", "description"))
 
 
 def p3_masked(spark, d):
-    return pii.mask_descriptions(table(spark, d, "listings"))
+    return pii.mask_descriptions(spread(table(spark, d, "listings"), "source_row_id", "description"))
 
 
 def observed_prices(spark, d):
@@ -44,21 +49,21 @@ def p5_city_percentiles(spark, d):
 
 def p5_listing_percentiles(spark, d):
     listings = table(spark, d, "listings")
-    prices = units.marked_amounts(listings).where("field_name = 'price_value' AND toman > 0").select("source_row_id", "toman")
+    prices = units.marked_amounts(spread(listings, *AMOUNTS)).where("field_name = 'price_value' AND toman > 0").select("source_row_id", "toman")
     where = listings.select("source_row_id", "city_slug", F.substring("created_at_month", 1, 7).alias("month"))
     return quantiles.sketch_percentiles(quantiles.bucket_sketch(where.join(prices, "source_row_id"), ["city_slug", "month"], "toman"), ["city_slug", "month"])
 
 
 def p7_found(spark, d):
-    return neardup.pairs_found(table(spark, d, "listings"))
+    return neardup.pairs_found(spread(table(spark, d, "listings"), *ADS))
 
 
 def p7_offers(spark, d):
-    return neardup.offer_groups(table(spark, d, "listings"))
+    return neardup.offer_groups(spread(table(spark, d, "listings"), *ADS))
 
 
 def p8_containers(spark, d):
-    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+    return packing.pack(spread(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "pack_capacities"))
 
 
 def p8_fill(spark, d):
@@ -66,7 +71,7 @@ def p8_fill(spark, d):
 
 
 def p9_mix(spark, d):
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))
+    return mixing.mix(spread(table(spark, d, "documents"), "doc_id", "text", "source"), table(spark, d, "source_targets"))
 
 
 def p9_shares(spark, d):
@@ -78,15 +83,15 @@ def _language_model(spark, d):
 
 
 def p10_found(spark, d):
-    return language.languages_to_report(table(spark, d, "documents"), _language_model(spark, d))
+    return language.languages_to_report(spread(table(spark, d, "documents"), *TEXTS), _language_model(spark, d))
 
 
 def p10_documents(spark, d):
-    return language.document_languages(table(spark, d, "documents"), _language_model(spark, d))
+    return language.document_languages(spread(table(spark, d, "documents"), *TEXTS), _language_model(spark, d))
 
 
 def p10_segments(spark, d):
-    return language.language_segments(table(spark, d, "documents"), _language_model(spark, d))
+    return language.language_segments(spread(table(spark, d, "documents"), *TEXTS), _language_model(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p3_found, p3_masked, p5_listing_percentiles, p5_observed_percentiles, p5_city_percentiles, p7_found, p7_offers, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
