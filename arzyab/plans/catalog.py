@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arzyab.plans import analysis, models, problems, relational
+from arzyab.plans import analysis, models, problems, relational, reports
 
-MODULES = (problems, relational, analysis, models)
+MODULES = (problems, relational, analysis, models, reports)
 
 
 def queries() -> dict:
