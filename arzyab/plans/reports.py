@@ -36,7 +36,7 @@ def mart_monthly(spark, d):
     return marts.standardised(rows, {"unit": "toman", "scope": "orders"}, COMMON)
 
 
-@query("WITH s AS (SELECT p_brand AS segment, median(p_retailprice) AS median_price, median(p_size) AS median_size, count(*) AS n FROM part GROUP BY 1), t AS (SELECT p_brand AS segment, p_type, count(*) AS c FROM part GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY c DESC, p_type) AS place FROM t) g AS (SELECT segment, max(CASE WHEN place = 1 THEN p_type END) AS top_1, max(CASE WHEN place = 2 THEN p_type END) AS top_2 FROM k GROUP BY 1) SELECT s.segment, median_price, median_size, n, CAST(n AS DOUBLE) / (SELECT sum(n) FROM s) AS share, top_1, top_2 FROM s JOIN g ON s.segment = g.segment")
+@query("WITH s AS (SELECT p_brand AS segment, median(p_retailprice) AS median_price, median(p_size) AS median_size, count(*) AS n FROM part GROUP BY 1), t AS (SELECT p_brand AS segment, p_type, count(*) AS c FROM part GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY c DESC, p_type) AS place FROM t), g AS (SELECT segment, max(CASE WHEN place = 1 THEN p_type END) AS top_1, max(CASE WHEN place = 2 THEN p_type END) AS top_2 FROM k GROUP BY 1) SELECT s.segment, median_price, median_size, n, CAST(n AS DOUBLE) / (SELECT sum(n) FROM s) AS share, top_1, top_2 FROM s JOIN g ON s.segment = g.segment")
 def segment_profile(spark, d):
     p = table(spark, d, "part")
     s = p.groupBy(F.col("p_brand").alias("segment")).agg(F.percentile("p_retailprice", 0.5).alias("median_price"), F.percentile("p_size", 0.5).alias("median_size"), F.count(F.lit(1)).alias("n"))
