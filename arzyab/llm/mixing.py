@@ -53,9 +53,10 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     can give of its share. An empty table gives no rows.
     """
     known = documents.where("text IS NOT NULL AND text <> ''").select("doc_id", "source", "text", F.sha2("text", 256).alias("digest"))
-    first = known.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "text")).alias("x")).select("digest", "x.*")
+    # Tokens are counted where the texts lie; only numbers are shuffled to find repeated texts.
+    first = with_token_counts(known, "text", vocabulary).groupBy("digest").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("x")).select("digest", "x.*")
     u = F.shiftrightunsigned(F.xxhash64("digest", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    sized = written(with_token_counts(first, "text", vocabulary).select("doc_id", "source", "tokens", "digest", u.alias("u")))
+    sized = written(first.select("doc_id", "source", "tokens", u.alias("u")))
     goals = {r.source: r for r in targets.collect()}
     table: dict[str, np.ndarray] = {s: np.zeros(RANGES) for s in goals}
     for source, at, tokens in sized.groupBy("source", F.floor(F.col("u") * RANGES).alias("at")).agg(F.sum("tokens")).where(F.col("source").isin(*goals)).collect():
