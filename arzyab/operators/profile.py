@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arzyab.functions.columns import normalized_text
+from arzyab.operators.ranks import running_total
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,10 +21,16 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def frequencies(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
-    """value, n, place by falling count then value; the k most frequent ones if k is given."""
+    """value, n, place by falling count then value; the k most frequent ones if k is given. NULL is a value and comes last among ties.
+
+    Without k the places are a prefix count over range partitions, as a column may have any number of values.
+    """
+    order = [F.desc("n"), F.asc_nulls_last("value")]
     counted = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.asc_nulls_last("value"))))
-    return ranked if k is None else ranked.where(F.col("place") <= k)
+    if k is not None:
+        first = counted.orderBy(*order).limit(k)
+        return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # k rows
+    return running_total(counted.withColumn("one_", F.lit(1)), order, "one_").select("value", "n", (F.col("before") + 1).alias("place"))
 
 
 def parse_diagnostics(df: DataFrame, source: str, typed: Column, name: str) -> DataFrame:

@@ -48,13 +48,14 @@ def cut_two(value: Column, first: float, second: float, labels: tuple[str, str,
     return F.when(value <= first, F.lit(labels[0])).when(value <= second, F.lit(labels[1])).when(value.isNotNull(), F.lit(labels[2]))
 
 
-def running_total(counts: DataFrame, order: str, n: str, name: str = "before") -> DataFrame:
-    """``counts`` with the sum of n over all rows with a smaller ``order``; order values are distinct.
+def running_total(counts: DataFrame, order: str | list[Column], n: str, name: str = "before") -> DataFrame:
+    """``counts`` with the sum of n over all rows that come earlier in ``order``, which must tell all rows apart.
 
     A global prefix sum without a one-task window: rows are range-partitioned and written, each partition's total (one number a
     partition) is summed on the driver, and each partition adds its own offset.
     """
-    parts = written(counts.repartitionByRange(order).withColumn("part_", F.spark_partition_id()))
+    by = [order] if isinstance(order, str) else order
+    parts = written(counts.repartitionByRange(*by).withColumn("part_", F.spark_partition_id()))
     totals = sorted((r.part_, r.t or 0) for r in parts.groupBy("part_").agg(F.sum(n).alias("t")).collect())
     offsets, run = [], 0
     for p, t in totals:
@@ -63,5 +64,23 @@ def running_total(counts: DataFrame, order: str, n: str, name: str = "before") -
     if not offsets:
         return parts.drop("part_").withColumn(name, F.lit(0))
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in offsets for x in pair]), F.col("part_"))
-    w = Window.partitionBy("part_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("part_").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn(name, offset + F.coalesce(F.sum(n).over(w), F.lit(0))).drop("part_")
+
+
+def position_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with each row's place (from 1) within its key by ``order``, and ``<name>_of``, the key's number of rows.
+
+    As row_number over a window, but a key with a third of all rows is spread over many tasks: rows are range-partitioned by key and
+    order and written; a key that crosses partitions gets the counts of its earlier ones as offsets (one row per key and partition).
+    NULL keys are a key.
+    """
+    parts = written(df.repartitionByRange(*keys, *order).withColumn("part_", F.spark_partition_id()))
+    pieces = parts.groupBy(*keys, "part_").agg(F.count(F.lit(1)).alias("c_"))
+    w = Window.partitionBy(*keys)
+    pieces = pieces.select(*[F.col(k).alias(f"key__{i}") for i, k in enumerate(keys)], F.col("part_").alias("piece__"), F.coalesce(F.sum("c_").over(w.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset_"), F.sum("c_").over(w).alias(f"{name}_of"))
+    own = parts.withColumn("own_", F.row_number().over(Window.partitionBy("part_", *keys).orderBy(*order)))
+    on = own["part_"] == pieces["piece__"]
+    for i, k in enumerate(keys):
+        on &= own[k].eqNullSafe(pieces[f"key__{i}"])
+    return own.join(pieces, on).select(*[own[c] for c in df.columns], (F.col("own_") + F.col("offset_")).alias(name), f"{name}_of")

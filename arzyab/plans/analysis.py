@@ -133,11 +133,8 @@ def local_reference(spark, d):
 
 @query(f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY o_totalprice, o_orderkey) / CAST(count(*) OVER (PARTITION BY part) AS DOUBLE) AS r FROM ({PLACED})) SELECT o_orderkey, CASE WHEN r <= 0.3 THEN 'SEG01' WHEN r <= 0.8 THEN 'SEG02' ELSE 'SEG03' END AS segment FROM o")
 def typology(spark, d):
-    from pyspark.sql import Window
-
-    o = placed_orders(spark, d)
-    w = Window.partitionBy("part")
-    r = F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")) / F.count(F.lit(1)).over(w)
+    o = ranks.position_within(placed_orders(spark, d).select("part", "o_totalprice", "o_orderkey"), ["part"], [F.col("o_totalprice"), F.col("o_orderkey")])
+    r = F.col("position") / F.col("position_of")
     return o.select("o_orderkey", r.alias("r")).select("o_orderkey", ranks.cut_two(F.col("r"), 0.3, 0.8, ("SEG01", "SEG02", "SEG03")).alias("segment"))
 
 

@@ -148,8 +148,8 @@ def cut_sensitivity(spark, d):
     """How much other cut points change a typology."""
     from arzyab.ml.segments import adjusted_rand
 
-    w = Window.partitionBy("part")
-    o = placed_orders(spark, d).select((F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")) / F.count(F.lit(1)).over(w)).alias("r"))
+    o = ranks.position_within(placed_orders(spark, d).select("part", "o_totalprice", "o_orderkey"), ["part"], [F.col("o_totalprice"), F.col("o_orderkey")])
+    o = o.select((F.col("position") / F.col("position_of")).alias("r"))
     c = o.select(ranks.cut_two(F.col("r"), 0.3, 0.8, ("1", "2", "3")).alias("a"), ranks.cut_two(F.col("r"), 0.25, 0.75, ("1", "2", "3")).alias("b"))
     return spark.createDataFrame([(adjusted_rand(c, "a", "b"),)], "adjusted_rand double")
 

@@ -58,6 +58,17 @@ def test_running_total_over_partitions(spark):
     assert ranks.running_total(df.limit(0), "v", "n").count() == 0
 
 
+def test_position_within_a_hot_key_equals_row_number(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), (F.hash("id") % 97).alias("v"), "id")
+    got = ranks.position_within(df, ["k"], [F.col("v"), F.col("id")])
+    w = Window.partitionBy("k")
+    want = df.select("*", F.row_number().over(w.orderBy("v", "id")).cast("long").alias("position"), F.count(F.lit(1)).over(w).alias("position_of"))
+    assert rows(got) == rows(want)
+    assert ranks.position_within(df.limit(0), ["k"], [F.col("v")]).count() == 0
+
+
 def test_outliers_fall_back_and_never_flag_null(spark):
     data = [("a", "k", float(v)) for v in range(1, 61)] + [("a", "k", 10_000.0), ("b", "k", 10_000.0), (None, "k", 10_000.0), ("a", None, 9e9), ("b", "k", None)]
     df = spark.createDataFrame(data, "c string, k string, v double")
