@@ -68,19 +68,39 @@ def running_total(counts: DataFrame, order: str | list[Column], n: str, name: st
     return parts.withColumn(name, offset + F.coalesce(F.sum(n).over(w), F.lit(0))).drop("part_")
 
 
-def position_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
-    """``df`` with each row's place (from 1) within its key by ``order``, and ``<name>_of``, the key's number of rows.
+def before_within(df: DataFrame, keys: list[str], order: list[Column], weight: str, name: str = "before") -> DataFrame:
+    """``df`` with the weight of the rows that come earlier in their key by ``order``, and ``<name>_of``, the key's whole weight.
 
-    As row_number over a window, but a key with a third of all rows is spread over many tasks: rows are range-partitioned by key and
-    order and written; a key that crosses partitions gets the counts of its earlier ones as offsets (one row per key and partition).
+    As a running sum over a window, but a key with a third of all rows is spread over many tasks: rows are range-partitioned by key and
+    order and written; a key that crosses partitions gets the sums of its earlier ones as offsets (one row per key and partition).
     NULL keys are a key.
     """
     parts = written(df.repartitionByRange(*keys, *order).withColumn("part_", F.spark_partition_id()))
-    pieces = parts.groupBy(*keys, "part_").agg(F.count(F.lit(1)).alias("c_"))
+    pieces = parts.groupBy(*keys, "part_").agg(F.sum(weight).alias("c_"))
     w = Window.partitionBy(*keys)
-    pieces = pieces.select(*[F.col(k).alias(f"key__{i}") for i, k in enumerate(keys)], F.col("part_").alias("piece__"), F.coalesce(F.sum("c_").over(w.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset_"), F.sum("c_").over(w).alias(f"{name}_of"))
-    own = parts.withColumn("own_", F.row_number().over(Window.partitionBy("part_", *keys).orderBy(*order)))
+    earlier = Window.unboundedPreceding, -1
+    pieces = pieces.select(*[F.col(k).alias(f"key__{i}") for i, k in enumerate(keys)], F.col("part_").alias("piece__"), F.coalesce(F.sum("c_").over(w.orderBy("part_").rowsBetween(*earlier)), F.lit(0)).alias("offset_"), F.sum("c_").over(w).alias(f"{name}_of"))
+    own = parts.withColumn("own_", F.coalesce(F.sum(weight).over(Window.partitionBy("part_", *keys).orderBy(*order).rowsBetween(*earlier)), F.lit(0)))
     on = own["part_"] == pieces["piece__"]
     for i, k in enumerate(keys):
         on &= own[k].eqNullSafe(pieces[f"key__{i}"])
     return own.join(pieces, on).select(*[own[c] for c in df.columns], (F.col("own_") + F.col("offset_")).alias(name), f"{name}_of")
+
+
+def position_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with each row's place (from 1) within its key by ``order``, and ``<name>_of``, the key's number of rows; safe for hot keys."""
+    placed = before_within(df.withColumn("one_", F.lit(1).cast("long")), keys, order, "one_", name)
+    return placed.select(*df.columns, (F.col(name) + 1).alias(name), f"{name}_of")
+
+
+def with_average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``df`` with avg_rank (ties share the mean of their places) and ranked (the key's number of values); NULL values get NULL.
+
+    As ``average_rank``, for keys of any size: distinct values are counted first, placed by ``before_within`` and joined back.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.col(value).alias("value_")).agg(F.count(F.lit(1)).alias("n_"))
+    placed = before_within(counts, [f"key_{i}" for i in range(len(keys))], [F.col("value_")], "n_")
+    on = df[value] == placed["value_"]
+    for i, k in enumerate(keys):
+        on &= df[k].eqNullSafe(placed[f"key_{i}"])
+    return df.join(placed, on, "left").select(*[df[c] for c in df.columns], (F.col("before") + (F.col("n_") + 1) / 2).alias("avg_rank"), F.col("before_of").alias("ranked"))

@@ -117,7 +117,9 @@ def top5_each(spark, d):
 
 @query("SELECT p_partkey, p_brand, (rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) AS avg_rank, (rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) / count(*) OVER (PARTITION BY p_brand) AS pct, -1 + 2 * ((rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0) - 1) / (count(*) OVER (PARTITION BY p_brand) - 1) AS scaled FROM part")
 def rank_percentiles(spark, d):
-    return table(spark, d, "part").select("p_partkey", "p_brand", "p_size").select("p_partkey", "p_brand", ranks.average_rank("p_size", ["p_brand"]).alias("avg_rank"), ranks.percentile_rank("p_size", ["p_brand"]).alias("pct"), ranks.scaled_rank("p_size", ["p_brand"], -1.0, 1.0).alias("scaled"))
+    r = ranks.with_average_ranks(table(spark, d, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand"], "p_size")
+    a, n = F.col("avg_rank"), F.col("ranked")
+    return r.select("p_partkey", "p_brand", "avg_rank", (a / n).alias("pct"), (-1 + 2 * (a - 1) / (n - 1)).alias("scaled"))
 
 
 @query("WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY month) AS share FROM m")

@@ -44,6 +44,8 @@ def test_reconcile_counts_each_kind_of_difference(spark):
 def test_ranks(spark):
     df = spark.createDataFrame([("g", 1.0), ("g", 1.0), ("g", 3.0), ("g", None), ("h", 5.0), ("e", 2.0), ("e", 2.0)], "g string, v double")
     got = df.select("g", "v", ranks.average_rank("v", ["g"]).alias("a"), ranks.percentile_rank("v", ["g"]).alias("p"), ranks.scaled_rank("v", ["g"], -1, 1).alias("s"))
+    wide = ranks.with_average_ranks(df, ["g"], "v")
+    assert rows(wide.select("g", "v", "avg_rank")) == rows(got.select("g", "v", "a"))
     assert rows(got.where("g = 'g'")) == rows(spark.createDataFrame([("g", 1.0, 1.5, 0.5, -0.5), ("g", 1.0, 1.5, 0.5, -0.5), ("g", 3.0, 3.0, 1.0, 1.0), ("g", None, None, None, None)], got.schema))
     assert [r.p for r in got.where("g <> 'g'").collect()] == [0.5] * 3
 
