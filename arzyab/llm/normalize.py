@@ -151,13 +151,24 @@ def consistent_form(c: Column) -> Column:
     return F.pandas_udf(_forms, "string")(c)
 
 
+def _confusables(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: 0 if t is None else sum(whole_script_confusable(w) for w in WORD.findall(t))).astype("int32")
+
+
 def normalise_fields(listings: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """source_row_id, each field in consistent form and ``<field>_changed``. NULL stays NULL, unchanged. No shuffle.
+    """source_row_id, each field in consistent form, ``<field>_changed``, and confusable_words: how many words of another script in the
+    consistent forms could be read as Latin as a whole (they are right as they stand and are kept).
 
-    Whole texts of any length are treated; equal rows repeat; an empty table gives no rows; other columns are left out.
+    NULL stays NULL, unchanged. Whole texts of any length are treated; equal rows repeat; an empty table gives no rows; other columns
+    are left out. No shuffle.
     """
     forms = listings.select("source_row_id", *fields, *[consistent_form(F.col(f)).alias(f"{f}_form") for f in fields])
-    return forms.select("source_row_id", *[F.col(f"{f}_form").alias(f) for f in fields], *[(F.coalesce(forms[f] != forms[f"{f}_form"], F.lit(False))).alias(f"{f}_changed") for f in fields])
+    every = F.concat_ws("\n", *[f"{f}_form" for f in fields])
+    foreign = F.when(every.rlike("[\u0370-\u03ff\u0400-\u04ff]"), every)
+    return forms.select(
+        "source_row_id", *[F.col(f"{f}_form").alias(f) for f in fields], *[F.coalesce(forms[f] != forms[f"{f}_form"], F.lit(False)).alias(f"{f}_changed") for f in fields],
+        F.pandas_udf(_confusables, "int")(foreign).alias("confusable_words"),
+    )
 
 
 def inconsistent_fields(listings: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:

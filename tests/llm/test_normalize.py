@@ -59,4 +59,7 @@ def test_frames(spark):
     assert found == [(1, "floor"), (1, "floor"), (1, "title"), (1, "title"), (3, "description")]
     forms = {r.source_row_id: r for r in N.normalise_fields(df).collect()}
     assert forms[1].title == "کیا" and forms[1].title_changed and not forms[1].description_changed and forms[2].title is None and len(forms[3].description) == 300_000
+    cyr = spark.createDataFrame([(9, "ТОР парк top", None, "с")], "source_row_id long, title string, description string, floor string")
+    row = N.normalise_fields(cyr).first()
+    assert row.confusable_words == 2 and row.title == "ТОР парк top" and not row.title_changed
     assert N.inconsistent_fields(df.limit(0)).count() == 0 and N.normalise_fields(df.limit(0)).count() == 0
