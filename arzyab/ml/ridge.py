@@ -14,6 +14,7 @@ from arzyab.functions.session import written
 from arzyab.ml.features import Design, learn_design
 from arzyab.operators.ranks import running_total
 from arzyab.operators.rollup import union_all
+from arzyab.sources.files import read_json, write_json
 
 
 @dataclass
@@ -25,6 +26,16 @@ class Ridge:
     def predict(self, pdf: pd.DataFrame) -> np.ndarray:
         return self.design.matrix(pdf) @ self.coefficients
 
+    def save(self, path: str) -> str:
+        """The fitted model as one small JSON document."""
+        return write_json(path, {"numeric": self.design.numeric, "binary": self.design.binary, "categorical": self.design.categorical, "alpha": self.alpha, "coefficients": list(map(float, self.coefficients))})
+
+    @staticmethod
+    def load(path: str) -> Ridge:
+        d = read_json(path)
+        pairs = lambda t: {k: tuple(v) for k, v in t.items()}
+        return Ridge(Design(pairs(d["numeric"]), pairs(d["binary"]), d["categorical"]), d["alpha"], np.array(d["coefficients"]))
+
     def effects(self) -> list[tuple[str, float]]:
         return list(zip(self.design.names, map(float, self.coefficients)))
 

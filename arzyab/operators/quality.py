@@ -62,3 +62,22 @@ def contract_checks(df: DataFrame, name: str, required: list[str], grain: list[s
         repeated = repeated_grain(df, grain).count()
         out.append(make_check(f"{name}: grain", repeated, 0, repeated == 0))
     return out
+
+
+def inventory(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, column_type, position of everything that is published."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(n, f.name, f.dataType.simpleString(), i) for n, t in sorted(tables.items()) for i, f in enumerate(t.schema.fields, 1)], "table_name string, column_name string, column_type string, position int")
+
+
+def relationship_checks(tables: dict[str, DataFrame], relationships: list[tuple[str, str, str, str]], nullable: tuple[tuple[str, str], ...] = ()) -> list[Check]:
+    """(fact, key, dimension, key) by (fact, key, dimension, key): facts' keys that the dimension lacks, NULL keys, repeated dimension keys."""
+    out = []
+    for fact, key, dimension, dimension_key in relationships:
+        lost = missing_keys(tables[fact], key, tables[dimension], dimension_key).count()
+        empty = tables[fact].where(F.col(key).isNull()).limit(1).count()
+        twice = repeated_grain(tables[dimension], [dimension_key]).limit(1).count()
+        out.append(make_check(f"{fact}.{key} -> {dimension}.{dimension_key}", lost, 0, lost == 0))
+        out.append(make_check(f"{fact}.{key}: given", empty, 0, empty == 0 or (fact, key) in nullable))
+        out.append(make_check(f"{dimension}.{dimension_key}: unique", twice, 0, twice == 0))
+    return out

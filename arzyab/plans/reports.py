@@ -192,3 +192,16 @@ def temperature_surfaced(spark, d):
 def trend_months(spark, d):
     """How many months each place's trends rest on, as a support table."""
     return _rounded(_features(spark, d)).select("city", "price_months", "activity_months", F.least("price_months", "activity_months").alias("usable_months"))
+
+
+@query()
+def relationship_checks(spark, d):
+    """Foreign keys, NULL keys and dimension keys of the star schema as check rows."""
+    tables = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")}
+    links = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+    return quality.check_table(spark, quality.relationship_checks(tables, links))
+
+
+@query()
+def published_inventory(spark, d):
+    return quality.inventory({"mart_monthly": mart_monthly(spark, d), "segment_profile": segment_profile(spark, d)})

@@ -31,6 +31,13 @@ def test_ridge_equals_the_closed_form(sample):
     assert m.n == 600 and m.r2_log > 0.9
 
 
+def test_model_is_stored_and_read(sample, tmp_path):
+    model = ridge.fit_ridge(sample, features.learn_design(sample, ["a"], ["b"], ["c"], 5), "y", 1.0)
+    again = ridge.Ridge.load(model.save(str(tmp_path / "m.json")))
+    pdf = sample.toPandas()
+    assert np.allclose(again.predict(pdf), model.predict(pdf)) and again.effects() == model.effects()
+
+
 def test_importance_contrast_crossfit(sample):
     design = features.learn_design(sample, ["a"], ["b"], ["c"], 5)
     model = ridge.fit_ridge(sample, design, "y", 1.0)
