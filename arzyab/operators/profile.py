@@ -9,13 +9,18 @@ from arzyab.functions.columns import normalized_text
 from arzyab.operators.ranks import running_total
 
 
+def _short(text: Column) -> Column:
+    """Long texts by their SHA-256, so that telling them apart doesn't move them."""
+    return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
+
+
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, rows, missing (null-like texts count) and exact distinct of the others.
 
     The table is unpivoted and counted per (column, value) first, so many distinct counts need no Expand per column and combine
     before the shuffle.
     """
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), normalized_text(F.col(c)).alias("v")) for c in columns])).alias("x")).select("x.*")
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _short(normalized_text(F.col(c))).alias("v")) for c in columns])).alias("x")).select("x.*")
     counted = pairs.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("column_name").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.count("v").alias("distinct_values"))
 
