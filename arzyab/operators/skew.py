@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arzyab.functions.session import written
 from arzyab.functions.text import given
 
 
@@ -36,7 +37,8 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     present = F.lit(True)
     for k in keys:
         present &= F.col(f"{k}_").isNotNull()
-    by_key = counted.groupBy(*[F.when(present, F.col(f"{k}_")).alias(k) for k in keys]).agg(F.sum("row_count").alias("n"))
+    # Counts by key are written once, so the table is scanned once for the counts and their total.
+    by_key = written(counted.groupBy(*[F.when(present, F.col(f"{k}_")).alias(k) for k in keys]).agg(F.sum("row_count").alias("n")))
     total = by_key.agg(F.sum("n").alias("total"))  # one row
     found = F.lit(True)
     for k in keys:
