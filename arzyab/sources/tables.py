@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arzyab.functions.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table; Catalyst prunes its columns and pushes filters into the scan."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
