@@ -43,22 +43,24 @@ def bucket_value(bucket: Column, error: float) -> Column:
     return F.when(bucket == 0, F.lit(0.0)).otherwise(F.signum(bucket.cast("double")) * size)
 
 
-def sketch_percentiles(sketches: DataFrame, keys: list[str], percentiles: tuple[float, ...] = PERCENTILES, error: float = 0.01) -> DataFrame:
-    """keys, n and a column per percentile (p50 ...): the value at rank floor(q * (n - 1)), within relative error ``error``."""
+def sketch_percentiles(sketches: DataFrame, keys: list[str], percentiles: tuple[float, ...] = PERCENTILES, error: float = 0.01, digits: int | None = None) -> DataFrame:
+    """keys, n and a column per percentile (p50 ...): the value at rank floor(q * (n - 1)), within relative error ``error``; rounded if
+    digits are given."""
     w = Window.partitionBy(*keys).orderBy("bucket")
+    shown = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
     run = sketches.withColumns({"upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(Window.partitionBy(*keys))})
     return run.groupBy(*keys).agg(
         F.max("all").alias("n"),
-        *[bucket_value(F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("all") - 1)), F.col("bucket"))), error).alias(f"p{round(q * 100)}") for q in percentiles],
+        *[shown(bucket_value(F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("all") - 1)), F.col("bucket"))), error)).alias(f"p{round(q * 100)}") for q in percentiles],
     )
 
 
-def percentiles_sql(source: str, keys: list[str], value: str, percentiles: tuple[float, ...] = PERCENTILES, error: float = 0.01) -> str:
+def percentiles_sql(source: str, keys: list[str], value: str, percentiles: tuple[float, ...] = PERCENTILES, error: float = 0.01, digits: int = 2) -> str:
     """The same sketch and percentiles in DuckDB."""
     g = (1 + error) / (1 - error)
     offset, step, k = int(100_000 * max(1, 0.01 / error)), math.log(g), ", ".join(keys)
     picks = ", ".join(f"min(CASE WHEN upto > floor({q} * (alln - 1)) THEN bucket END) AS b{round(q * 100)}" for q in percentiles)
-    out = ", ".join(f"{2 / (g + 1)!r} * exp((b{round(q * 100)} - {offset}) * {step!r}) AS p{round(q * 100)}" for q in percentiles)
+    out = ", ".join(f"round({2 / (g + 1)!r} * exp((b{round(q * 100)} - {offset}) * {step!r}), {digits}) AS p{round(q * 100)}" for q in percentiles)
     return (
         f"WITH v AS (SELECT {k}, CAST({value} AS DOUBLE) AS v FROM ({source})), b AS (SELECT {k}, CAST(ceil(ln(v) / {step!r}) AS BIGINT) + {offset} AS bucket, count(*) AS n FROM v WHERE v > 0 GROUP BY ALL), "
         f"r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY {k} ORDER BY bucket) AS BIGINT) AS upto, CAST(sum(n) OVER (PARTITION BY {k}) AS BIGINT) AS alln FROM b) "

@@ -38,20 +38,20 @@ def observed_prices(spark, d):
 
 
 def p5_observed_percentiles(spark, d):
-    return quantiles.sketch_percentiles(quantiles.bucket_sketch(observed_prices(spark, d), ["city_slug", "analysis_month"], "price_value_toman"), ["city_slug", "analysis_month"])
+    return quantiles.sketch_percentiles(quantiles.bucket_sketch(observed_prices(spark, d), ["city_slug", "analysis_month"], "price_value_toman"), ["city_slug", "analysis_month"], digits=2)
 
 
 def p5_city_percentiles(spark, d):
     """Monthly sketches merged to cities."""
     monthly = quantiles.bucket_sketch(observed_prices(spark, d), ["city_slug", "analysis_month"], "price_value_toman")
-    return quantiles.sketch_percentiles(quantiles.merge_sketches(monthly, ["city_slug"]), ["city_slug"])
+    return quantiles.sketch_percentiles(quantiles.merge_sketches(monthly, ["city_slug"]), ["city_slug"], digits=2)
 
 
 def p5_listing_percentiles(spark, d):
     listings = table(spark, d, "listings")
     prices = units.marked_amounts(spread(listings, *AMOUNTS)).where("field_name = 'price_value' AND toman > 0").select("source_row_id", "toman")
     where = listings.select("source_row_id", "city_slug", F.substring("created_at_month", 1, 7).alias("month"))
-    return quantiles.sketch_percentiles(quantiles.bucket_sketch(where.join(prices, "source_row_id"), ["city_slug", "month"], "toman"), ["city_slug", "month"])
+    return quantiles.sketch_percentiles(quantiles.bucket_sketch(where.join(prices, "source_row_id"), ["city_slug", "month"], "toman"), ["city_slug", "month"], digits=2)
 
 
 def p7_found(spark, d):
