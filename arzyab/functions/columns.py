@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 NULL_LIKE = ("", "null", "<null>", "none", "nan", "n/a", "na")
 # Words of the rooms field.
 ROOM_WORDS = {"بدون اتاق": 0, "یک": 1, "دو": 2, "سه": 3, "چهار": 4, "پنج یا بیشتر": 5}
+# White space of Unicode, for trimming without a pattern.
+WHITE_SPACE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PERSIAN_DIGITS, ARABIC_DIGITS = "۰۱۲۳۴۵۶۷۸۹", "٠١٢٣٤٥٦٧٨٩"
 
 
@@ -20,7 +22,7 @@ def any_of(conditions: list[Column]) -> Column:
 
 def normalized_text(c: Column) -> Column:
     """Trimmed of all white space; NULL where a null-like text stands."""
-    t = F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    t = F.trim(c.cast("string"), F.lit(WHITE_SPACE))
     return F.when(F.lower(t).isin(*NULL_LIKE), F.lit(None)).otherwise(t)
 
 
