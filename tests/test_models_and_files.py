@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from arzyab.ml import features, ridge, segments
 from arzyab.operators.quality import make_check
+from arzyab.plans import models
 from arzyab.plans.repository import BadRequest, Repository, UnknownDataset
 from arzyab.sources import files
 from arzyab.streaming.rollup import windowed_rollup
@@ -50,6 +51,13 @@ def test_importance_contrast_crossfit(sample):
     assert alpha == 0.1 and len(scores) == 4
 
 
+def test_crossfit_and_importance_queries_do_the_whole_job(spark, small):
+    out = models.crossfit_residuals(spark, small).collect()
+    assert sum(r.n for r in out) == spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert {r.fold for r in out} == set(range(5)) and all(r.mean_residual is not None for r in out)
+    assert {r.repeats for r in models.permutation_importance(spark, small).collect()} == {3}
+
+
 def test_clusters_pass_the_gate_only_if_there_are_any(spark):
     rng = np.random.default_rng(1)
     rows = [(float(rng.normal(m, 0.2)), float(rng.normal(-m, 0.2))) for m in (0, 5, 10) for _ in range(80)]
