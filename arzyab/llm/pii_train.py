@@ -33,9 +33,64 @@ PATTERNS = (
     ("person_name", re.compile(rf"(?:(?:^|[ \n])با|نزد|مالک:) (?!{PLACE})([{FA}]+ {FAMILY})")),
     ("person_name", re.compile(r"(?:\b(?:mr|mrs|ms|dr)\.? |owner )([a-z]+ [a-z]+)")),
 )
+WINDOW, STRIDE, REACH = 128, 64, 44
+
+# What most items come with; it only picks the windows to learn from. Signs and words, each with
+# what must follow or stand around it ("d": a digit within 40 characters, "w": a whole word, "e": the end of a word).
+SIGNS = {
+    "": "@ (at) [at] {at} پلاک",
+    "d": "خیابان بلوار کوی میدان کوچه بست",
+    "w": "street alley avenue boulevard lane road square unit no mr mrs ms miss dr eng contact owner",
+    "e": "خواه پور منش زاده نژاد نیا فر",
+    "t": "اقا خانم جناب سرکار مهندس دکتر استاد حاج مالک",
+}
+WORDS = [(w, how) for how, ws in SIGNS.items() for w in ws.split(" ")]
+LONG_NUMBER = re.compile(r"[0-9](?:[ .\-()/,]{0,2}[0-9]){6,}")
+DIGIT = re.compile(r"[0-9]")
 NOT_BEFORE = re.compile(r"(?:اگهی|سند|پرونده ثبتی|پرونده)[ :]*$")
 
 
+def signs_of(plain: str) -> list[tuple[int, int]]:
+    """(start, end) of all signs, in order."""
+    found = [m.span() for m in LONG_NUMBER.finditer(plain)]
+    n = len(plain)
+    for word, how in WORDS:
+        at = plain.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if how == "d":
+                ok = DIGIT.search(plain, end, min(n, end + 40)) is not None
+            elif how == "w":
+                ok = not (at and plain[at - 1].isalpha()) and not (end < n and plain[end].isalpha())
+            elif how == "e":
+                ok = not (end < n and plain[end].isalpha()) and at >= 3 and " " not in plain[at - 3 : at]
+            else:
+                ok = True
+            if ok:
+                found.append((at, end))
+            at = plain.find(word, end)
+    found.sort()
+    return found
+
+
+def sign_windows(plain: str) -> list[tuple[int, int]]:
+    """Overlapping windows around all signs."""
+    regions: list[list[int]] = []
+    for start, end in signs_of(plain):
+        a, b = max(0, start - REACH), min(len(plain), end + REACH)
+        if regions and a <= regions[-1][1]:
+            regions[-1][1] = max(regions[-1][1], b)
+        else:
+            regions.append([a, b])
+    out = []
+    for a, b in regions:
+        while b - a > WINDOW:
+            out.append((a, a + WINDOW))
+            a += STRIDE
+        out.append((a, b))
+    return out
+
+
 def label(plain: str) -> np.ndarray:
     """The tags of a folded text by patterns; the first pattern that takes a character keeps it."""
     tags = np.zeros(len(plain), dtype=np.int8)
@@ -52,16 +107,16 @@ def label(plain: str) -> np.ndarray:
 
 
 def examples(texts: list[str], rng: np.random.Generator) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Windows and tags: all windows that pass the gate, cut at random offsets, and a few that don't."""
+    """Windows and tags: all windows around signs, cut at random offsets, and a few that don't."""
     xs, ys = [], []
     digits = np.array([pii.ALPHABET.index(c) + 1 for c in "0123456789"])
     for text in texts:
         ids, _ = pii.encode(text)
         plain = pii.plain_text(ids)
         tags = label(plain)
-        for a, b in pii.windows_of(plain):
+        for a, b in sign_windows(plain):
             a = max(0, a + int(rng.integers(-16, 17)))
-            b = min(len(plain), max(b + int(rng.integers(-16, 17)), a + 1), a + pii.WINDOW)
+            b = min(len(plain), max(b + int(rng.integers(-16, 17)), a + 1), a + WINDOW)
             while a < b and tags[a] and tags[a] % 2 == 0:  # don't start inside an item
                 a += 1
             while b > a and b < len(tags) and tags[b] and tags[b] % 2 == 0:

@@ -50,29 +50,74 @@ class Tagger:
         return Tagger(p[:3], p[3:6], *p[6:])
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        mask = (ids > 0).astype(f32)
-        h = np.concatenate([_run(ids, mask, *self.left, False)[0], _run(ids, mask, *self.right, True)[0]], axis=2)
+        """T x B x K."""
+        b, t = ids.shape
+        n = self.left[1].shape[0]
+        h = np.empty((t, b, 2 * n), f32)
+        _states(ids, *self.left, False, h[:, :, :n])
+        _states(ids, *self.right, True, h[:, :, n:])
         return h @ self.out + self.out_bias
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tag of each character (Viterbi); 0 on padding."""
-        e = self.emissions(ids)
-        b, t, k = e.shape
+        """The best tag of each character (Viterbi); 0 on padding, which stands at the end of a row."""
+        e = self.emissions(ids).transpose(0, 2, 1)
+        t, k, b = e.shape
         real = ids > 0
-        score, back = e[:, 0], np.zeros((t, b, k), dtype=np.int8)
-        stay = np.arange(k, dtype=np.int8)
+        scores = np.empty((t, k, b), f32)
+        scores[0] = e[0]
         for i in range(1, t):
-            through = score[:, :, None] + self.trans
-            back[i] = np.where(real[:, i, None], through.argmax(axis=1), stay)
-            score = np.where(real[:, i, None], through.max(axis=1) + e[:, i], score)
+            through = scores[i - 1][:, None, :] + self.trans[:, :, None]
+            np.add(through.max(axis=0), e[i], out=scores[i])
+            if not real[:, i].all():
+                scores[i] = np.where(real[:, i], scores[i], scores[i - 1])
         out = np.zeros((b, t), dtype=np.int8)
-        at, rows = score.argmax(axis=1), np.arange(b)
+        at = scores[-1].argmax(axis=0)
         for i in range(t - 1, -1, -1):
             out[:, i] = np.where(real[:, i], at, 0)
-            at = back[i, rows, at]
+            if i:
+                at = np.where(real[:, i], (scores[i - 1] + self.trans[:, at]).argmax(axis=0), at)
         return out
 
 
+def _states(ids: np.ndarray, table: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, backward: bool, states: np.ndarray) -> None:
+    """The hidden states of one direction into ``states`` (T x B x H), as ``_run`` gives them up to rounding, without what only training
+    needs. sigmoid(v) = 1 / (1 + exp(-v)) and tanh(v) = 2 sigmoid(2v) - 1, as exp is the quickest; signs and doubling are in the weights."""
+    b, t = ids.shape
+    n = recurrent.shape[0]
+    sign = np.full(4 * n, -1, f32)
+    sign[3 * n :] = -2
+    x, r = (table + bias) * sign, recurrent * sign
+    real = ids > 0
+    full = real.all(axis=0)
+    columns = np.ascontiguousarray(ids.T).astype(np.intp)
+    h, c = np.zeros((b, n), f32), np.zeros((b, n), f32)
+    z, v, tc = np.empty((b, 4 * n), f32), np.empty((b, 4 * n), f32), np.empty((b, n), f32)
+    gi, gf, go, gc = (z[:, k * n : (k + 1) * n] for k in range(4))
+    with np.errstate(over="ignore"):  # exp gives inf, its gate 0
+        for i in range(t - 1, -1, -1) if backward else range(t):
+            np.dot(h, r, out=z)
+            z += np.take(x, columns[i], axis=0, out=v, mode="clip")
+            np.exp(z, out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            c *= gf
+            np.multiply(gi, gc, out=tc)
+            c -= gi
+            tc *= 2
+            c += tc
+            if not full[i]:
+                c *= real[:, i, None]
+            np.multiply(c, -2, out=tc)
+            np.exp(tc, out=tc)
+            tc += 1
+            np.divide(2, tc, out=tc)
+            tc -= 1
+            np.multiply(go, tc, out=h)
+            if not full[i]:
+                h *= real[:, i, None]
+            states[i] = h
+
+
 def _run(ids: np.ndarray, mask: np.ndarray, table: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, backward: bool, keep: bool = False):
     """Hidden states B x T x H of one direction; with ``keep`` also what training needs."""
     b, t = ids.shape

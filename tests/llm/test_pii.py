@@ -1,7 +1,7 @@
 import numpy as np
 
 from arzyab.llm import pii, pii_train
-from arzyab.llm.tagger import Tagger, fit, loss_and_gradients
+from arzyab.llm.tagger import Tagger, _run, fit, loss_and_gradients
 
 
 def test_gradients():
@@ -55,6 +55,35 @@ def test_items_and_placeholders(spark):
     assert pii.pii_types(df.limit(0)).count() == 0
 
 
+def test_every_character_is_tagged():
+    """No text goes untagged, with or without signs of an item, and at any length."""
+    seen = []
+
+    class All:
+        def decode(self, ids):
+            seen.append(int((ids > 0).sum()))
+            return np.where(ids > 0, 2, 0).astype(np.int8)
+
+    for text in ("هماهنگی با علی محمدی", "john smith", "نور " * 2000, "0912 - 345 - 6789", "x"):
+        ids, _ = pii.encode(text)
+        tags = pii.tag_windows(All(), [ids], [(0, a, b) for a, b in pii.windows_of(len(ids))])[0]
+        assert len(tags) == len(ids) and (tags == 2).all()
+    found = pii.find_items(["لطفا با 0912 - 345 - 6789 تماس بگیرید", "تماس: John Smith"], pii.default_model())
+    assert [[k for _, _, k in f] for f in found] == [["phone"], ["person_name"]]
+    seen.clear()
+    pii.find_items(["هماهنگی با علی محمدی", "john smith", "", None], All())
+    assert sum(seen) == len("هماهنگی با علی محمدی") + len("john smith")
+
+
+def test_decoding_equals_the_states_of_training():
+    m = pii.default_model()
+    ids = np.random.default_rng(3).integers(1, pii.CHARACTERS, (5, 70))
+    ids[1, 30:] = ids[2, 69:] = 0
+    mask = (ids > 0).astype(np.float32)
+    want = np.concatenate([_run(ids, mask, *m.left, False)[0], _run(ids, mask, *m.right, True)[0]], axis=2) @ m.out + m.out_bias
+    assert np.abs(m.emissions(ids).transpose(1, 0, 2) - want).max() < 1e-3
+
+
 def test_national_code():
     assert pii.national_code("9725178734") and not pii.national_code("9725178735") and not pii.national_code("1111111111") and not pii.national_code("123")
 
