@@ -1,10 +1,11 @@
 """Training of the tagger for personal information.
 
-    python -m arzyab.llm.pii_train LISTINGS.parquet pii_model.npz [most_texts]
+    python -m arzyab.llm.pii_train LISTINGS.parquet pii_model.npz [most_texts [START.npz]]
 
-A bounded sample of descriptions (``most_texts``, smallest hash of the id) is labelled by patterns with their context, names and
-digits are varied so that the model learns forms and contexts rather than the sample's values, and the tagger is trained on windows
-that hold items, windows that hold what looks like items, and some others. A held-out tenth is scored by spans.
+A bounded sample of descriptions (``most_texts``, smallest hash of the id) is labelled by patterns with their context, and composed
+items and look-alikes (``pii_compose``) are inserted between their sentences, so that the model learns forms, names and contexts which
+the sample lacks. The gate is fitted first; the tagger learns from what the gate lets through. A held-out tenth of the texts is scored by
+spans: against the patterns, and with composed items of names, carriers and forms kept out of training.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import sys
 import numpy as np
 
 from arzyab.llm import pii
+from arzyab.llm.gate import Gate, fit_gate
+from arzyab.llm.pii_compose import Composer, inserted
 from arzyab.llm.tagger import Tagger, fit
 
 FA = "ابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیء"
@@ -27,70 +30,16 @@ PATTERNS = (
     ("phone", re.compile(r"(?<![0-9/\-])((?:\+ ?98|0 ?0 ?9 ?8|\(0|0)(?:[ .\-()]{0,2}[0-9]){8,12})(?![0-9])")),
     ("identity_number", re.compile(r"(?<![0-9\-])([0-9]{3}[ \-]?[0-9]{6}[ \-]?[0-9])(?![0-9])")),
     ("identity_number", re.compile(r"(?:پاسپورت|گذرنامه|passport(?: no)?\.?)[ :]*([a-z] ?[0-9]{8})(?![0-9])")),
-    ("street_address", re.compile(r"((?:خیابان|بلوار|کوی|میدان|کوچه) (?:(?!خیابان|بلوار|کوی )[^\n./\-]){0,60}?پلاک [0-9]+(?:[ ,]+(?:واحد|زنگ|طبقه) [0-9]+)?)")),
+    ("street_address", re.compile(r"((?:خیابان|بلوار|کوی|میدان|کوچه|بزرگراه|بن ?بست) (?:(?!پارکینگ|خیابان ارام)[^\n./\-]){0,70}?(?:پلاک|شماره) [0-9]+(?:[ ,]+(?:واحد|زنگ|طبقه|ط) [0-9]+)?)")),
+    ("street_address", re.compile(rf"(?<![{FA}])((?:خ|ک|م)\.? [{FA} ]{{2,40}}? (?:پ|ش|پلاک)\.? ?[0-9]+(?: (?:ط|و|واحد)\.? ?[0-9]+)?)")),
     ("street_address", re.compile(r"((?:no\.? ?)?[0-9]+,? [a-z]+ (?:street|alley|avenue|boulevard|lane|road|square)(?:, unit [0-9]+)?)")),
     ("person_name", re.compile(rf"{TITLE} ((?:[{FA}]+ )?{FAMILY})")),
     ("person_name", re.compile(rf"(?:(?:^|[ \n])با|نزد|مالک:) (?!{PLACE})([{FA}]+ {FAMILY})")),
     ("person_name", re.compile(r"(?:\b(?:mr|mrs|ms|dr)\.? |owner )([a-z]+ [a-z]+)")),
 )
-WINDOW, STRIDE, REACH = 128, 64, 44
-
-# What most items come with; it only picks the windows to learn from. Signs and words, each with
-# what must follow or stand around it ("d": a digit within 40 characters, "w": a whole word, "e": the end of a word).
-SIGNS = {
-    "": "@ (at) [at] {at} پلاک",
-    "d": "خیابان بلوار کوی میدان کوچه بست",
-    "w": "street alley avenue boulevard lane road square unit no mr mrs ms miss dr eng contact owner",
-    "e": "خواه پور منش زاده نژاد نیا فر",
-    "t": "اقا خانم جناب سرکار مهندس دکتر استاد حاج مالک",
-}
-WORDS = [(w, how) for how, ws in SIGNS.items() for w in ws.split(" ")]
-LONG_NUMBER = re.compile(r"[0-9](?:[ .\-()/,]{0,2}[0-9]){6,}")
-DIGIT = re.compile(r"[0-9]")
 NOT_BEFORE = re.compile(r"(?:اگهی|سند|پرونده ثبتی|پرونده)[ :]*$")
 
 
-def signs_of(plain: str) -> list[tuple[int, int]]:
-    """(start, end) of all signs, in order."""
-    found = [m.span() for m in LONG_NUMBER.finditer(plain)]
-    n = len(plain)
-    for word, how in WORDS:
-        at = plain.find(word)
-        while at >= 0:
-            end = at + len(word)
-            if how == "d":
-                ok = DIGIT.search(plain, end, min(n, end + 40)) is not None
-            elif how == "w":
-                ok = not (at and plain[at - 1].isalpha()) and not (end < n and plain[end].isalpha())
-            elif how == "e":
-                ok = not (end < n and plain[end].isalpha()) and at >= 3 and " " not in plain[at - 3 : at]
-            else:
-                ok = True
-            if ok:
-                found.append((at, end))
-            at = plain.find(word, end)
-    found.sort()
-    return found
-
-
-def sign_windows(plain: str) -> list[tuple[int, int]]:
-    """Overlapping windows around all signs."""
-    regions: list[list[int]] = []
-    for start, end in signs_of(plain):
-        a, b = max(0, start - REACH), min(len(plain), end + REACH)
-        if regions and a <= regions[-1][1]:
-            regions[-1][1] = max(regions[-1][1], b)
-        else:
-            regions.append([a, b])
-    out = []
-    for a, b in regions:
-        while b - a > WINDOW:
-            out.append((a, a + WINDOW))
-            a += STRIDE
-        out.append((a, b))
-    return out
-
-
 def label(plain: str) -> np.ndarray:
     """The tags of a folded text by patterns; the first pattern that takes a character keeps it."""
     tags = np.zeros(len(plain), dtype=np.int8)
@@ -106,70 +55,98 @@ def label(plain: str) -> np.ndarray:
     return tags
 
 
-def examples(texts: list[str], rng: np.random.Generator) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Windows and tags: all windows around signs, cut at random offsets, and a few that don't."""
+def sample(text: str, composer: Composer, share: float = 0.9) -> tuple[str, np.ndarray]:
+    """A text and its tags, mostly with composed items and look-alikes put between its sentences."""
+    plain = pii.plain_text(pii.encode(text)[0])
+    tags = label(plain)
+    if share < 1 and composer.chance(0.1):  # phrases alone
+        plain, tags = "", tags[:0]
+    if not plain or composer.chance(share):
+        plain, tags = inserted(plain, tags, [composer.phrase() for _ in range(int(composer.rng.integers(1, 6)))], composer.rng)
+    return plain, tags
+
+
+def numbered(tags: np.ndarray) -> np.ndarray:
+    """The number of the item that each character belongs to, 0 for none."""
+    return np.where(tags > 0, np.cumsum(tags % 2 == 1), 0)
+
+
+def examples(samples: list[tuple[np.ndarray, np.ndarray]], gate: Gate, rng: np.random.Generator) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What the gate lets through, with other digits in some items, and whole texts here and there."""
     xs, ys = [], []
     digits = np.array([pii.ALPHABET.index(c) + 1 for c in "0123456789"])
-    for text in texts:
-        ids, _ = pii.encode(text)
-        plain = pii.plain_text(ids)
-        tags = label(plain)
-        for a, b in sign_windows(plain):
-            a = max(0, a + int(rng.integers(-16, 17)))
-            b = min(len(plain), max(b + int(rng.integers(-16, 17)), a + 1), a + WINDOW)
+    for ids, tags in samples:
+        pieces = [(0, len(ids))] if rng.random() < 0.03 or len(ids) < 150 else pii.regions_of(gate.fires(ids), len(ids), pii.CONTEXT + int(rng.integers(-12, 8)))
+        for a, b in pieces:
             while a < b and tags[a] and tags[a] % 2 == 0:  # don't start inside an item
                 a += 1
-            while b > a and b < len(tags) and tags[b] and tags[b] % 2 == 0:
-                b -= 1
             x, y = ids[a:b].copy(), tags[a:b]
-            if not len(x) or not y.any() and rng.random() < 0.4:
+            if len(x) < 4 or not y.any() and rng.random() < 0.25:
                 continue
-            # vary digits inside items, except a phone's first ones
             vary = (y > 0) & np.isin(x, digits) & (rng.random(len(x)) < 0.3)
-            starts = np.flatnonzero((y == 3))
-            for s in starts:
+            for s in np.flatnonzero(y == 3):  # a phone's first digits stay
                 vary[s : s + 7] = False
             x[vary] = rng.choice(digits, vary.sum())
             xs.append(x.astype(np.int64))
             ys.append(y.astype(np.int64))
-        if rng.random() < 0.05 and len(ids) > 140:
-            a = int(rng.integers(0, len(ids) - 128))
-            if not tags[a : a + 128].any():
-                xs.append(ids[a : a + 128].astype(np.int64))
-                ys.append(tags[a : a + 128].astype(np.int64))
     return xs, ys
 
 
-def score(model: Tagger, texts: list[str]) -> dict[str, tuple[int, int, int]]:
-    """Type -> (right, missed, wrong) texts holding it, against the labels."""
-    out = {k: [0, 0, 0] for k in pii.TYPES}
-    for text, found in zip(texts, pii.find_items(texts, model)):
-        plain = pii.plain_text(pii.encode(text)[0])
-        want = {k for _, _, k in pii.spans(plain, label(plain))}
-        got = {k for _, _, k in found}
-        for k in pii.TYPES:
-            out[k][0] += k in want and k in got
-            out[k][1] += k in want and k not in got
-            out[k][2] += k not in want and k in got
-    return {k: tuple(v) for k, v in out.items()}
-
-
-def train(texts: list[str], hidden: int = 24, epochs: int = 8, seed: int = 5, log=print) -> Tagger:
-    held = texts[: len(texts) // 10]
-    xs, ys = examples(texts[len(held) :], np.random.default_rng(seed))
+def score(model: pii.Model, texts: list[str], composer: Composer | None = None) -> dict[str, dict[str, float]]:
+    """Per type: items, found (share overlapped by a found item of the type), exact (same ends), gated (share that the gate lets
+    through), right (share of found items that overlap one of the type). Texts with composed items if a composer is given, else
+    against the labelling patterns."""
+    out = {k: dict(items=0, found=0, exact=0, gated=0, got=0, right=0) for k in pii.TYPES}
+    made = [sample(t, composer, 1.0) if composer else (lambda p: (p, label(p)))(pii.plain_text(pii.encode(t)[0])) for t in texts]
+    # read as they stand: the labels' places must stay those of the text
+    kept = [(p, t) for p, t in made if len(pii.encode(p)[0]) == len(p)]
+    for (plain, tags), found in zip(kept, pii.find_items([p for p, _ in kept], model)):
+        want = pii.spans(plain, tags)
+        passed = np.zeros(len(plain) + 1, dtype=bool)
+        for a, b in pii.regions_of(model.gate.fires(pii.encode(plain)[0]), len(plain), 0):
+            passed[a:b] = True
+        for a, b, k in want:
+            o = out[k]
+            o["items"] += 1
+            o["found"] += any(x < b and a < y and k == z for x, y, z in found)
+            o["exact"] += (a, b, k) in found
+            o["gated"] += passed[a:b].any()
+        for x, y, k in found:
+            out[k]["got"] += 1
+            out[k]["right"] += any(x < b and a < y and k == z for a, b, z in want)
+    return {k: {"items": o["items"], "got": o["got"], **{n: round(float(o[n] / max(o["items"], 1)), 4) for n in ("found", "exact", "gated")}, "right": round(float(o["right"] / max(o["got"], 1)), 4)} for k, o in out.items()}
+
+
+def train(texts: list[str], hidden: int = 24, epochs: int = 11, rounds: int = 2, seed: int = 5, processes: int = 1, start: pii.Model | None = None, log=print) -> pii.Model:
+    """Rounds of fitting, each on newly composed samples of the same texts; after the first (or from ``start``) at a lower rate."""
+    held, kept = texts[: len(texts) // 10], texts[len(texts) // 10 :]
+    model = start
+    for n in range(rounds):
+        composer = Composer(seed + 100 * n + (len(texts) if start else 0))
+        made = [sample(t, composer, 0.9 if model is None else 0.6) for t in kept]
+        samples = [(ids, tags) for ids, tags in ((pii.encode(p)[0], t) for p, t in made) if len(ids) == len(tags)]
+        gate = model.gate if model else fit_gate([i for i, _ in samples], [numbered(t) for _, t in samples], log=log)
+        xs, ys = examples(samples, gate, composer.rng)
+        if log:
+            log(f"{len(xs)} windows, {sum(map(len, xs))} characters of {sum(len(i) for i, _ in samples)}")
+        tagger = fit(model.tagger if model else Tagger.fresh(pii.CHARACTERS, hidden, pii.TAGS), xs, ys, epochs=epochs if model is None else -(-epochs // 2), rate=0.012 if model is None else 0.005, processes=processes, log=log)
+        model = pii.Model(gate, tagger)
     if log:
-        log(f"{len(xs)} windows, {sum(map(len, xs))} characters")
-    model = fit(Tagger.fresh(pii.CHARACTERS, hidden, pii.TAGS), xs, ys, epochs=epochs, log=log)
-    if log:
-        log(str(score(model, held)))
+        log(f"patterns: {score(model, held)}")
+        log(f"other names in known phrases: {score(model, held, Composer(seed + 1, held=True, known_carriers=True))}")
+        log(f"other names and phrases: {score(model, held, Composer(seed + 2, held=True))}")
     return model
 
 
 if __name__ == "__main__":
+    import os
+
     import pyarrow.parquet as pq
 
     rows = pq.read_table(sys.argv[1], columns=["source_row_id", "description"]).to_pandas().dropna()
-    most = int(sys.argv[3]) if len(sys.argv) > 3 else 12_000
+    most = int(sys.argv[3]) if len(sys.argv) > 3 else 9_000
     rows = rows.assign(k=(rows["source_row_id"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).sort_values("k").head(most)
+    before = pii.Model.from_bytes(open(sys.argv[4], "rb").read()) if len(sys.argv) > 4 else None
+    trained = train(list(rows["description"]), rounds=1 if before else 2, processes=os.cpu_count() or 1, start=before)
     with open(sys.argv[2], "wb") as f:
-        f.write(train(list(rows["description"])).to_bytes())
+        f.write(trained.to_bytes())

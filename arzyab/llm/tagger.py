@@ -1,23 +1,30 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy: training and decoding.
+"""A character-level bidirectional LSTM with CRF transitions: training in numpy, inference by a small graph for onnxruntime.
 
-Characters are ids from 1; 0 pads. All functions work on batches (B windows of T characters). The input layer is a table with one
-row of gate inputs per character id, which is an embedding and its projection in one.
+Characters are ids from 1; 0 pads. All functions work on batches (B windows of T characters). Ids are embedded, both directions share
+the embedding. The graph is written out by hand from the trained weights; where onnxruntime is absent numpy computes the same.
 """
 
 from __future__ import annotations
 
-import io
+import multiprocessing
 from dataclasses import dataclass
 
 import numpy as np
 
+try:
+    import onnxruntime
+except ImportError:
+    onnxruntime = None
+
 f32 = np.float32
 
 
 @dataclass
 class Tagger:
-    """left, right: (table V x 4H, recurrent H x 4H, bias 4H) per direction; out: 2H x K; out_bias: K; trans: K x K (from, to)."""
+    """table: V x E embedding; left, right: (input E x 4H, recurrent H x 4H, bias 4H) per direction, gates in the order input, forget,
+    output, cell; out: 2H x K; out_bias: K; trans: K x K (from, to)."""
 
+    table: np.ndarray
     left: list[np.ndarray]
     right: list[np.ndarray]
     out: np.ndarray
@@ -25,38 +32,50 @@ class Tagger:
     trans: np.ndarray
 
     @staticmethod
-    def fresh(characters: int, hidden: int, tags: int, seed: int = 7) -> Tagger:
+    def fresh(characters: int, hidden: int, tags: int, width: int = 16, seed: int = 7) -> Tagger:
         rng = np.random.default_rng(seed)
 
         def side() -> list[np.ndarray]:
             bias = np.zeros(4 * hidden, f32)
             bias[hidden : 2 * hidden] = 1.0  # remember at first
-            return [rng.normal(0, 0.3, (characters, 4 * hidden)).astype(f32), rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden)).astype(f32), bias]
+            return [rng.normal(0, 0.3, (width, 4 * hidden)).astype(f32), rng.normal(0, 1 / np.sqrt(hidden), (hidden, 4 * hidden)).astype(f32), bias]
 
-        return Tagger(side(), side(), rng.normal(0, 0.2, (2 * hidden, tags)).astype(f32), np.zeros(tags, f32), np.zeros((tags, tags), f32))
+        return Tagger(rng.normal(0, 1, (characters, width)).astype(f32), side(), side(), rng.normal(0, 0.2, (2 * hidden, tags)).astype(f32), np.zeros(tags, f32), np.zeros((tags, tags), f32))
 
     def parameters(self) -> list[np.ndarray]:
-        return [*self.left, *self.right, self.out, self.out_bias, self.trans]
+        return [self.table, *self.left, *self.right, self.out, self.out_bias, self.trans]
+
+    @staticmethod
+    def of(p: list[np.ndarray]) -> Tagger:
+        return Tagger(p[0], p[1:4], p[4:7], *p[7:])
 
-    def to_bytes(self) -> bytes:
-        b = io.BytesIO()
-        np.savez_compressed(b, *[p.astype(np.float16) for p in self.parameters()])
-        return b.getvalue()
+    def arrays(self) -> dict[str, np.ndarray]:
+        """The weights to store, in half precision."""
+        return {f"tagger_{i}": p.astype(np.float16) for i, p in enumerate(self.parameters())}
 
     @staticmethod
-    def from_bytes(raw: bytes) -> Tagger:
-        z = np.load(io.BytesIO(raw))
-        p = [z[f"arr_{i}"].astype(f32) for i in range(9)]
-        return Tagger(p[:3], p[3:6], *p[6:])
+    def from_arrays(z) -> Tagger:
+        return Tagger.of([z[f"tagger_{i}"].astype(f32) for i in range(10)])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_session"}  # a session stays in its process
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """T x B x K."""
-        b, t = ids.shape
-        n = self.left[1].shape[0]
-        h = np.empty((t, b, 2 * n), f32)
-        _states(ids, *self.left, False, h[:, :, :n])
-        _states(ids, *self.right, True, h[:, :, n:])
-        return h @ self.out + self.out_bias
+        if onnxruntime is None:
+            return self.numpy_emissions(ids)
+        if "_session" not in self.__dict__:
+            options = onnxruntime.SessionOptions()
+            options.intra_op_num_threads = options.inter_op_num_threads = 1
+            options.log_severity_level = 3
+            self._session = onnxruntime.InferenceSession(graph(self), options, providers=["CPUExecutionProvider"])
+        lengths = (ids > 0).sum(axis=1).astype(np.int32)
+        return self._session.run(None, {"ids": np.ascontiguousarray(ids.T).astype(np.int32), "lengths": lengths})[0]
+
+    def numpy_emissions(self, ids: np.ndarray) -> np.ndarray:
+        mask = (ids > 0).astype(f32)
+        h = np.concatenate([_run(ids, mask, self.table, *self.left, False)[0], _run(ids, mask, self.table, *self.right, True)[0]], axis=2)
+        return (h @ self.out + self.out_bias).transpose(1, 0, 2)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The best tag of each character (Viterbi); 0 on padding, which stands at the end of a row."""
@@ -79,50 +98,63 @@ class Tagger:
         return out
 
 
-def _states(ids: np.ndarray, table: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, backward: bool, states: np.ndarray) -> None:
-    """The hidden states of one direction into ``states`` (T x B x H), as ``_run`` gives them up to rounding, without what only training
-    needs. sigmoid(v) = 1 / (1 + exp(-v)) and tanh(v) = 2 sigmoid(2v) - 1, as exp is the quickest; signs and doubling are in the weights."""
-    b, t = ids.shape
-    n = recurrent.shape[0]
-    sign = np.full(4 * n, -1, f32)
-    sign[3 * n :] = -2
-    x, r = (table + bias) * sign, recurrent * sign
-    real = ids > 0
-    full = real.all(axis=0)
-    columns = np.ascontiguousarray(ids.T).astype(np.intp)
-    h, c = np.zeros((b, n), f32), np.zeros((b, n), f32)
-    z, v, tc = np.empty((b, 4 * n), f32), np.empty((b, 4 * n), f32), np.empty((b, n), f32)
-    gi, gf, go, gc = (z[:, k * n : (k + 1) * n] for k in range(4))
-    with np.errstate(over="ignore"):  # exp gives inf, its gate 0
-        for i in range(t - 1, -1, -1) if backward else range(t):
-            np.dot(h, r, out=z)
-            z += np.take(x, columns[i], axis=0, out=v, mode="clip")
-            np.exp(z, out=z)
-            z += 1
-            np.reciprocal(z, out=z)
-            c *= gf
-            np.multiply(gi, gc, out=tc)
-            c -= gi
-            tc *= 2
-            c += tc
-            if not full[i]:
-                c *= real[:, i, None]
-            np.multiply(c, -2, out=tc)
-            np.exp(tc, out=tc)
-            tc += 1
-            np.divide(2, tc, out=tc)
-            tc -= 1
-            np.multiply(go, tc, out=h)
-            if not full[i]:
-                h *= real[:, i, None]
-            states[i] = h
-
-
-def _run(ids: np.ndarray, mask: np.ndarray, table: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, backward: bool, keep: bool = False):
+# The graph's file format is protocol buffers: fields of (number, wire type) and a variable-length integer or a length-prefixed string.
+
+
+def _varint(n: int) -> bytes:
+    n &= (1 << 64) - 1
+    out = bytearray()
+    while True:
+        out.append(n & 127 | (128 if n > 127 else 0))
+        n >>= 7
+        if not n:
+            return bytes(out)
+
+
+def _number(field: int, n: int) -> bytes:
+    return _varint(field << 3) + _varint(n)
+
+
+def _block(field: int, content: bytes | str) -> bytes:
+    raw = content.encode() if isinstance(content, str) else content
+    return _varint(field << 3 | 2) + _varint(len(raw)) + raw
+
+
+def graph(m: Tagger) -> bytes:
+    """The network up to the emissions as an ONNX model: ids (T x B), lengths (B) -> emissions (T x B x K)."""
+    n, k = m.left[1].shape[0], m.out.shape[1]
+    order = np.concatenate([np.arange(a * n, (a + 1) * n) for a in (0, 2, 1, 3)])  # ONNX has the gates as input, output, forget, cell
+    both = lambda i: np.stack([side[i].T[order] for side in (m.left, m.right)])
+    weights = {
+        "table": m.table, "W": both(0), "R": both(1), "B": np.stack([np.concatenate([side[2][order], np.zeros(4 * n, f32)]) for side in (m.left, m.right)]),
+        "flat": np.array([0, 0, 2 * n], dtype=np.int64), "out": m.out, "bias": m.out_bias,
+    }
+
+    def node(op: str, inputs: str, output: str, *attributes: bytes) -> bytes:
+        return _block(1, b"".join(_block(1, i) for i in inputs.split()) + _block(2, output) + _block(4, op) + b"".join(_block(5, a) for a in attributes))
+
+    def value(field: int, name: str, kind: int, shape: list) -> bytes:
+        dims = b"".join(_block(1, _block(2, d) if isinstance(d, str) else _number(1, d)) for d in shape)
+        return _block(field, _block(1, name) + _block(2, _block(1, _number(1, kind) + _block(2, dims))))
+
+    nodes = (
+        node("Gather", "table ids", "x"),
+        node("LSTM", "x W R B lengths", "y", _block(1, "hidden_size") + _number(3, n) + _number(20, 2), _block(1, "direction") + _block(4, "bidirectional") + _number(20, 3)),
+        node("Transpose", "y", "z", _block(1, "perm") + b"".join(_number(8, d) for d in (0, 2, 1, 3)) + _number(20, 7)),
+        node("Reshape", "z flat", "h"),
+        node("MatMul", "h out", "s"),
+        node("Add", "s bias", "emissions"),
+    )
+    stored = b"".join(_block(5, b"".join(_number(1, d) for d in a.shape) + _number(2, 1 if a.dtype.kind == "f" else 7) + _block(8, name) + _block(9, np.ascontiguousarray(a).tobytes())) for name, a in weights.items())
+    body = b"".join(nodes) + _block(2, "tagger") + stored + value(11, "ids", 6, ["T", "B"]) + value(11, "lengths", 6, ["B"]) + value(12, "emissions", 1, ["T", "B", k])
+    return _number(1, 8) + _block(8, _block(1, "") + _number(2, 14)) + _block(7, body)
+
+
+def _run(ids: np.ndarray, mask: np.ndarray, table: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, backward: bool, keep: bool = False):
     """Hidden states B x T x H of one direction; with ``keep`` also what training needs."""
     b, t = ids.shape
     hidden = recurrent.shape[0]
-    x = table + bias
+    x = table @ inputs + bias
     h, c = np.zeros((b, hidden), f32), np.zeros((b, hidden), f32)
     states = np.zeros((b, t, hidden), f32)
     kept = {}
@@ -145,9 +177,9 @@ def _run(ids: np.ndarray, mask: np.ndarray, table: np.ndarray, recurrent: np.nda
     return states, kept
 
 
-def _run_back(ids, mask, side, backward, kept, grad):
-    """Gradients of one direction's parameters from the gradient of its hidden states."""
-    table, recurrent, _ = side
+def _run_back(ids, mask, table, side, backward, kept, grad):
+    """Gradients of the embedding and of one direction's parameters from the gradient of its hidden states."""
+    inputs, recurrent, _ = side
     hidden = recurrent.shape[0]
     b, t = ids.shape
     dh, dc = np.zeros((b, hidden), f32), np.zeros((b, hidden), f32)
@@ -166,10 +198,10 @@ def _run_back(ids, mask, side, backward, kept, grad):
     flat, at = dz_all.reshape(-1, 4 * hidden), ids.ravel()
     order = np.argsort(at, kind="stable")
     seen, starts = np.unique(at[order], return_index=True)
-    d_table = np.zeros_like(table)
-    d_table[seen] = np.add.reduceat(flat[order], starts, axis=0)
-    d_table[0] = 0
-    return [d_table, d_rec, flat.sum(axis=0)]
+    d_in = np.zeros((len(table), 4 * hidden), f32)
+    d_in[seen] = np.add.reduceat(flat[order], starts, axis=0)
+    d_in[0] = 0
+    return d_in @ inputs.T, [table.T @ d_in, d_rec, flat.sum(axis=0)]
 
 
 def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
@@ -182,8 +214,8 @@ def loss_and_gradients(m: Tagger, ids: np.ndarray, tags: np.ndarray) -> tuple[fl
     b, t = ids.shape
     real = ids > 0
     mask = real.astype(f32)
-    hl, kl = _run(ids, mask, *m.left, False, True)
-    hr, kr = _run(ids, mask, *m.right, True, True)
+    hl, kl = _run(ids, mask, m.table, *m.left, False, True)
+    hr, kr = _run(ids, mask, m.table, *m.right, True, True)
     h = np.concatenate([hl, hr], axis=2)
     e = h @ m.out + m.out_bias
     k = e.shape[2]
@@ -216,32 +248,45 @@ def loss_and_gradients(m: Tagger, ids: np.ndarray, tags: np.ndarray) -> tuple[fl
     flat = d_e.reshape(-1, k)
     d_h = (flat @ m.out.T).reshape(h.shape)
     n = hl.shape[2]
-    grads = [*_run_back(ids, mask, m.left, False, kl, d_h[:, :, :n]), *_run_back(ids, mask, m.right, True, kr, d_h[:, :, n:]), h.reshape(-1, 2 * n).T @ flat, flat.sum(axis=0), d_trans / b]
+    (t_left, left), (t_right, right) = _run_back(ids, mask, m.table, m.left, False, kl, d_h[:, :, :n]), _run_back(ids, mask, m.table, m.right, True, kr, d_h[:, :, n:])
+    grads = [t_left + t_right, *left, *right, h.reshape(-1, 2 * n).T @ flat, flat.sum(axis=0), d_trans / b]
     return float((z - score).mean()), grads
 
 
-def fit(m: Tagger, windows: list[np.ndarray], tags: list[np.ndarray], epochs: int = 8, batch: int = 96, rate: float = 0.012, seed: int = 1, log=None) -> Tagger:
-    """Adam with clipped gradients and a falling rate; batches of windows of like length."""
+def _work(job) -> tuple[float, list[np.ndarray]]:
+    parameters, ids, tags = job
+    return loss_and_gradients(Tagger.of(parameters), ids, tags)
+
+
+def fit(m: Tagger, windows: list[np.ndarray], tags: list[np.ndarray], epochs: int = 8, batch: int = 24, rate: float = 0.012, seed: int = 1, processes: int = 1, log=None) -> Tagger:
+    """Adam with clipped gradients and a falling rate; batches of windows of like length, several at a time on as many processes."""
     rng = np.random.default_rng(seed)
     ps = m.parameters()
     m1, m2 = [np.zeros_like(p) for p in ps], [np.zeros_like(p) for p in ps]
-    step, total = 0, epochs * -(-len(windows) // batch)
+    step, total = 0, epochs * -(-len(windows) // (batch * processes))
+    pool = multiprocessing.get_context("fork").Pool(processes) if processes > 1 else None
+
+    def padded(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = max(len(windows[i]) for i in group)
+        ids, ys = np.zeros((len(group), t), dtype=np.int64), np.zeros((len(group), t), dtype=np.int64)
+        for r, i in enumerate(group):
+            ids[r, : len(windows[i])], ys[r, : len(windows[i])] = windows[i], tags[i]
+        return ids, ys
+
     for epoch in range(epochs):
         order = np.argsort([len(w) + rng.random() * 12 for w in windows])
-        groups = [order[i : i + batch] for i in range(0, len(order), batch)]
-        rng.shuffle(groups)
+        steps = [order[i : i + batch * processes] for i in range(0, len(order), batch * processes)]  # of like length
+        rng.shuffle(steps)
         losses = []
-        for g in groups:
-            t = max(len(windows[i]) for i in g)
-            ids, ys = np.zeros((len(g), t), dtype=np.int64), np.zeros((len(g), t), dtype=np.int64)
-            for r, i in enumerate(g):
-                ids[r, : len(windows[i])], ys[r, : len(windows[i])] = windows[i], tags[i]
-            loss, grads = loss_and_gradients(m, ids, ys)
-            losses.append(loss)
+        for windows_now in steps:
+            jobs = [(ps, *padded(windows_now[k::processes])) for k in range(min(processes, len(windows_now)))]
+            done = pool.map(_work, jobs, chunksize=1) if pool else [_work(j) for j in jobs]
+            losses += [loss for loss, _ in done]
+            grads = [np.mean(gs, axis=0) for gs in zip(*[g for _, g in done])]
             norm = np.sqrt(sum(float((d * d).sum()) for d in grads))
             scale = min(1.0, 5.0 / max(norm, 1e-9))
             step += 1
-            lr = rate * (1 - 0.95 * step / total)
+            lr = rate * min(1.0, step / 30) * (1 - 0.95 * min(step / total, 1.0))
             for p, d, a, v in zip(ps, grads, m1, m2):
                 d = d * scale
                 a += 0.1 * (d - a)
@@ -249,4 +294,6 @@ def fit(m: Tagger, windows: list[np.ndarray], tags: list[np.ndarray], epochs: in
                 p -= lr * (a / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.998**step)) + 1e-8)
         if log:
             log(f"epoch {epoch + 1}: {np.mean(losses):.4f}")
+    if pool:
+        pool.terminate()
     return m

@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from arzyab.llm import pii, pii_train
-from arzyab.llm.tagger import Tagger, _run, fit, loss_and_gradients
+from arzyab.llm.pii_compose import Composer
+from arzyab.llm.tagger import Tagger, fit, loss_and_gradients
 
 
 def test_gradients():
@@ -15,7 +18,7 @@ def test_gradients():
     _, grads = loss_and_gradients(m, ids, tags)
     for p, g in zip(m.parameters(), grads):
         for at in rng.integers(0, p.size, 4):
-            if p is m.left[0] or p is m.right[0]:
+            if p is m.table:
                 at = at % (p.size - p.shape[1]) + p.shape[1]  # row 0 is padding
             was = p.flat[at]
             p.flat[at] = was + 1e-2
@@ -30,17 +33,48 @@ def test_it_learns():
     rng = np.random.default_rng(1)
     xs = [rng.integers(1, 6, 12) for _ in range(300)]
     ys = [np.where((x == 3) & (np.roll(x, -1) == 4) & (np.arange(12) < 11), 1, 0) for x in xs]  # needs the character to the right
-    m = fit(Tagger.fresh(6, 8, 2), xs, ys, epochs=12, batch=32, rate=0.03)
+    m = fit(Tagger.fresh(6, 8, 2), xs, ys, epochs=16, batch=32, rate=0.03)
     assert (m.decode(np.stack(xs)) == np.stack(ys)).mean() > 0.99
-    again = Tagger.from_bytes(m.to_bytes())
+    again = Tagger.from_arrays(m.arrays())
     assert (again.decode(np.stack(xs)) == m.decode(np.stack(xs))).mean() > 0.999
 
 
-def test_held_out_accuracy(spark):
-    """Descriptions of a table that training never saw, against the labelling patterns: typed recall and precision."""
-    texts = [r.description for r in spark.read.parquet("/root/testdata/check_s/listings.parquet").where("description IS NOT NULL").orderBy("source_row_id").limit(4000).collect()]
-    for kind, (right, missed, wrong) in pii_train.score(pii.default_model(), texts).items():
-        assert right / (right + missed) >= 0.98 and right / (right + wrong) >= 0.98, kind
+def held_out(n):
+    """Descriptions that training never read: those of sf0.1 beyond the 13,000 with the smallest hash of their id."""
+    rows = pq.read_table("/root/testdata/sf0.1/listings.parquet", columns=["source_row_id", "description"]).to_pandas().dropna()
+    key = (rows["source_row_id"].to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+    return list(rows.assign(k=key).sort_values("k")["description"].iloc[13_000 : 13_000 + n])
+
+
+def test_held_out_accuracy():
+    for kind, s in pii_train.score(pii.default_model(), held_out(3000)).items():
+        assert s["found"] >= 0.95 and s["right"] >= 0.9 and s["gated"] >= 0.999, (kind, s)
+
+
+def test_accuracy_on_names_that_training_never_saw():
+    for kind, s in pii_train.score(pii.default_model(), held_out(800), Composer(91, held=True, known_carriers=True)).items():
+        assert s["found"] >= 0.85 and s["right"] >= 0.95 and s["gated"] >= 0.99, (kind, s)
+
+
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("آقای محمد کریمی", "person_name", "محمد کریمی"), ("مالک: حسین احمدی", "person_name", "حسین احمدی"), ("با رضا محمدی تماس بگیرید", "person_name", "رضا محمدی"),
+        ("هماهنگی با علی محمدی", "person_name", "علی محمدی"), ("John Smith", "person_name", "John Smith"), ("Contact: Sara Ahmadi will show the flat", "person_name", "Sara Ahmadi"),
+        ("خیابان ولیعصر شماره ۱۲ واحد ۳", "street_address", "خیابان ولیعصر شماره ۱۲"), ("آدرس: خ پارانزی ک سانوانو پ ۱۲ ط ۳", "street_address", "پ ۱۲"), ("0912 - 345 - 6789", "phone", "0912 - 345 - 6789"),
+    ],
+)
+def test_forms_that_the_patterns_lack(text, kind, part):
+    (found,) = pii.find_items([text], pii.default_model())
+    assert [k for _, _, k in found] == [kind] and part in text[found[0][0] : found[0][1]]
+
+
+def test_gate_batches_like_single_texts():
+    gate = pii.default_model().gate
+    texts = [pii.encode(t)[0] for t in ["", "ab", "تماس 0912", "نور " * 50 + "مالک: حسین احمدی", "x" * 14, "call 09121234567 anytime", *held_out(50)]]
+    for many, t in zip(gate.fires_of(texts), texts):
+        assert many.tolist() == gate.fires(t).tolist()
+    assert gate.fires_of([]) == []
 
 
 def test_items_and_placeholders(spark):
@@ -55,33 +89,22 @@ def test_items_and_placeholders(spark):
     assert pii.pii_types(df.limit(0)).count() == 0
 
 
-def test_every_character_is_tagged():
-    """No text goes untagged, with or without signs of an item, and at any length."""
-    seen = []
+def test_every_region_is_tagged():
+    """What the gate lets through is tagged whole, at any length."""
+    for start, end in ((0, 5), (3, 900), (10, 10 + pii.WINDOW)):
+        covered = np.zeros(1000, dtype=bool)
+        for a, b in pii.windows_of(start, end):
+            covered[a:b] = True
+        assert covered[start:end].all() and covered.sum() == end - start
+    assert pii.regions_of(np.array([0, 3, 300]), 310, 40) == [(0, 3 + pii.STRETCH + 40), (260, 310)]
+    assert pii.regions_of(np.array([], dtype=int), 310, 40) == []
 
-    class All:
-        def decode(self, ids):
-            seen.append(int((ids > 0).sum()))
-            return np.where(ids > 0, 2, 0).astype(np.int8)
-
-    for text in ("هماهنگی با علی محمدی", "john smith", "نور " * 2000, "0912 - 345 - 6789", "x"):
-        ids, _ = pii.encode(text)
-        tags = pii.tag_windows(All(), [ids], [(0, a, b) for a, b in pii.windows_of(len(ids))])[0]
-        assert len(tags) == len(ids) and (tags == 2).all()
-    found = pii.find_items(["لطفا با 0912 - 345 - 6789 تماس بگیرید", "تماس: John Smith"], pii.default_model())
-    assert [[k for _, _, k in f] for f in found] == [["phone"], ["person_name"]]
-    seen.clear()
-    pii.find_items(["هماهنگی با علی محمدی", "john smith", "", None], All())
-    assert sum(seen) == len("هماهنگی با علی محمدی") + len("john smith")
-
-
-def test_decoding_equals_the_states_of_training():
-    m = pii.default_model()
+
+def test_the_graph_equals_the_states_of_training():
+    m = pii.default_model().tagger
     ids = np.random.default_rng(3).integers(1, pii.CHARACTERS, (5, 70))
     ids[1, 30:] = ids[2, 69:] = 0
-    mask = (ids > 0).astype(np.float32)
-    want = np.concatenate([_run(ids, mask, *m.left, False)[0], _run(ids, mask, *m.right, True)[0]], axis=2) @ m.out + m.out_bias
-    assert np.abs(m.emissions(ids).transpose(1, 0, 2) - want).max() < 1e-3
+    assert np.abs(m.emissions(ids) - m.numpy_emissions(ids))[(ids > 0).T].max() < 1e-3
 
 
 def test_national_code():
