@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
         return
     archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
+        for f in sorted(f for f in root.rglob("*") if f.suffix in (".py", ".npz")):
             z.write(f, f.relative_to(root.parent))
     context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
