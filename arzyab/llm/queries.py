@@ -48,10 +48,9 @@ def p5_city_percentiles(spark, d):
 
 
 def p5_listing_percentiles(spark, d):
-    listings = table(spark, d, "listings")
-    prices = units.marked_amounts(spread(listings, *AMOUNTS)).where("field_name = 'price_value' AND toman > 0").select("source_row_id", "toman")
-    where = listings.select("source_row_id", "city_slug", F.substring("created_at_month", 1, 7).alias("month"))
-    return quantiles.sketch_percentiles(quantiles.bucket_sketch(where.join(prices, "source_row_id"), ["city_slug", "month"], "toman"), ["city_slug", "month"], digits=2)
+    prices = units.marked_amounts(spread(table(spark, d, "listings"), "city_slug", *AMOUNTS), keep=("city_slug", "created_at_month")).where("field_name = 'price_value' AND toman > 0")
+    prices = prices.select("city_slug", F.substring("created_at_month", 1, 7).alias("month"), "toman")
+    return quantiles.sketch_percentiles(quantiles.bucket_sketch(prices, ["city_slug", "month"], "toman"), ["city_slug", "month"], digits=2)
 
 
 def p7_found(spark, d):
