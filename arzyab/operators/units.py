@@ -1,11 +1,11 @@
 """Amounts recorded in different units, brought to whole toman (problem 6).
 
-A source here is one money field of one kind of property. Its history is the sequence of its amounts, ordered by the wording
-that goes with them (what stands beside the number in the field, else the ad's remark on its amounts) and by month. Amounts of
-one wording and month share a unit, so they form one cell with sufficient statistics of their log values. An exact penalised
-changepoint search over the cells finds the level shifts of the history; a shift from the level of plain amounts that matches a
-known factor marks a unit change, which is then reversed. Where a wording names its unit, the named factor is taken and the
-shift says whether the history confirms it; a wording that names none gets the factor of its shift.
+A source is one money field of one kind of property with one wording: what stands beside the number in the field, else the ad's remark
+on its amounts, else nothing (a bare number). Its history is the sequence of its amounts by month; amounts of one month form a cell
+with sufficient statistics of their log values (per square metre where the size is given). An exact penalised changepoint search over
+each history finds its segments of one level. The level of a segment less the level of the field's bare amounts is its shift, and the
+shift decides which known factors are possible. Only where several are (rial and a year's rent differ by 1.2) the wording breaks the
+tie; segments of too few amounts to have a level keep the factor that their wording names.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ FIELDS = ("price_value", "credit_value", "rent_value")
 AMOUNT = r"(?<!\p{L})(?:مبلغ|مبالغ|قیمت|رقم|ارقام|اعداد|واحد پول|نرخ|amounts?|prices?|figures?|values?|numbers?)"
 UNIT = r"(?<!\p{L})(?:(?:هزار|میلیون|میلیارد|thousands?|millions?|billions?|mln|bn)(?: of)? ?)?(?:تومان|تومن|ریال|tomans?|rials?|irr)"
 OTHER = r"وام|بودجه|شارژ|اقساط|loan|budget|charge"
+PERIOD = r"(?:سالانه|سالیانه|در سال|هر سال|per year|yearly|annual(?:ly)?)"
+SCALE = r"(?:به|برحسب|بر حسب|in) (?:هزار|میلیون|میلیارد|thousands?|millions?|billions?)(?!\p{L})"
 STOP = r"[^0-9۰-۹\n.;|/()\[\]•،,!?؟-]"
 # log10 of (amount as written / amount in toman) of known units; a year's rent is twelve months'.
 YEAR = float(np.log10(12))
@@ -30,12 +32,15 @@ KNOWN = (0.0, 1.0, -3.0, -6.0, -9.0, -2.0, -5.0, -8.0)
 
 
 def remark(description: Column) -> Column:
-    """The remark of an ad on its own amounts, '' if there is none: its amount word and its unit, so wordings stay few."""
+    """The ad's remarks on its own amounts, '' if there are none: the units, scales and periods they name, so wordings stay few.
+    Remarks on other amounts (a loan, a budget) don't hide those that follow."""
     # Texts of plain characters need no folding; the others are rare.
     text = F.when(plain_characters(description), F.lower(description)).otherwise(fold_chars(description))
-    found = F.regexp_extract(text, rf"({AMOUNT}{STOP}{{0,60}}?{UNIT}|{UNIT}{STOP}{{0,30}}?{AMOUNT})", 1)
-    short = F.concat(F.regexp_extract(found, AMOUNT, 0), F.lit(": "), F.regexp_extract(found, UNIT, 0))
-    return F.coalesce(F.when((found == "") | found.rlike(OTHER), F.lit("")).otherwise(short), F.lit(""))
+    measure = rf"(?:{UNIT}(?: {PERIOD})?|{PERIOD}|{SCALE})"
+    found = F.regexp_extract_all(text, F.lit(rf"((?:(?:{OTHER})\p{{L}}* +)?{AMOUNT}{STOP}{{0,60}}?{measure}|{UNIT}{STOP}{{0,30}}?{AMOUNT})"), F.lit(1))
+    own = F.filter(found, lambda x: ~x.rlike(OTHER))
+    short = F.array_distinct(F.flatten(F.transform(own, lambda x: F.regexp_extract_all(x, F.lit(rf"({UNIT}|{PERIOD}|{SCALE})"), F.lit(1)))))
+    return F.coalesce(F.when(F.size(found) > 0, F.array_join(F.array_sort(short), "; ")), F.lit(""))
 
 
 def wording(value: Column) -> Column:
@@ -65,28 +70,29 @@ def named_unit(words: Column, rent: Column) -> Column:
     thousand = words.rlike(r"هزار|thousand|# ?k\b")
     rial = words.rlike(r"(?<!\p{L})ریال|\brials?\b|\brls\b|\birr\b")
     toman = words.rlike(r"تومان|تومن|\btomans?\b|م ?\. ?ت|\birt\b")
-    year = words.rlike(r"سالانه|سالیانه|در سال|per year|yearly|annual|/ ?year")
+    year = words.rlike(r"سالانه|سالیانه|در سال|هر سال|per year|yearly|annual|/ ?year")
     scale = F.when(billion, -9.0).when(million, -6.0).when(thousand, -3.0).otherwise(0.0)
     said = billion | million | thousand | rial | toman | year
     return F.when(said, scale + F.when(rial, 1.0).otherwise(0.0) + F.when(year & rent, YEAR).otherwise(0.0))
 
 
-def amounts(listings: DataFrame) -> DataFrame:
-    """One row per money field with a digit: row, field, number, wording, month, size, property kind, the unit that is named."""
+def amounts(listings: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per money field with a digit: row, field, number, wording, month, size, property kind, the unit that is named (NULL if
+    none is), and whether the number stands without any wording."""
     size = F.expr("try_cast(building_size AS DOUBLE)")
     about = F.when(F.coalesce(*[F.col(f) for f in FIELDS]).isNotNull(), remark(F.col("description"))).otherwise("")
     long = listings.select(
-        F.col("source_row_id"), F.coalesce(fold(F.col("cat3_slug")), F.lit("")).alias("kind"),
+        F.col("source_row_id"), *keep, F.coalesce(fold(F.col("cat3_slug")), F.lit("")).alias("kind"),
         F.coalesce(F.substring(F.col("created_at_month"), 1, 7), F.lit("")).alias("month"), F.when(size > 0, size).alias("size"), about.alias("about"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), fold(F.col(f)).alias("text")) for f in FIELDS])).alias("x"),
     ).select("*", "x.field_name", "x.text").where(F.col("text").rlike(r"\d"))
     # Layer by layer: each expression would otherwise be repeated inside all that use it.
-    step = long.select("source_row_id", "field_name", "kind", "month", "size", "about", number(F.col("text")).alias("number"), wording(F.col("text")).alias("own")).where(F.col("number").isNotNull())
+    step = long.select("source_row_id", *keep, "field_name", "kind", "month", "size", "about", number(F.col("text")).alias("number"), wording(F.col("text")).alias("own")).where(F.col("number").isNotNull())
     step = step.select("*", (F.regexp_replace("own", r"[#\s+\-]", "") == "").alias("bare"))
     # The field speaks first; the remark counts for a bare number only.
     step = step.select("*", F.when(F.col("bare"), F.col("about")).otherwise(F.col("own")).alias("wording"))
     named = named_unit(F.col("wording"), F.col("field_name") == "rent_value")
-    return step.select("source_row_id", "field_name", "kind", "month", "size", "number", "wording", F.when(F.col("bare"), F.coalesce(named, F.lit(0.0))).otherwise(named).alias("named"))
+    return step.select("source_row_id", *keep, "field_name", "kind", "month", "size", "number", "wording", named.alias("named"), (F.col("bare") & (F.col("about") == "")).alias("plain"))
 
 
 def with_stated_toman(df: DataFrame, field: str, name: str) -> DataFrame:
@@ -136,50 +142,100 @@ def changepoints(n: np.ndarray, s: np.ndarray, q: np.ndarray, penalty: float) ->
     return out[::-1]
 
 
-def unit_changes(cells: DataFrame, tolerance: float = 0.45, strength: float = 3.0) -> DataFrame:
-    """The unit of each cell: (kind, field_name, wording, named, month, shift, unit, confirmed).
+def possible_units(rent: bool) -> np.ndarray:
+    """log10 of all known factors."""
+    return np.array([*KNOWN, *(k + YEAR for k in KNOWN if rent)])
 
-    cells: kind, field_name, wording, named, month, n, s, q. One history (kind, field) is one task; its cells are bounded by the
-    wordings in use times the months, not by rows. strength multiplies the BIC-like penalty var * log(total count).
-    """
 
-    def history(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(order=pdf["named"].fillna(99)).sort_values(["order", "wording", "month"], kind="stable").reset_index(drop=True)
+def _segments(pdf: pd.DataFrame, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, level, amounts) of the segment of each cell of a history in order of months."""
+    n, s, q = (pdf[c].to_numpy(float) for c in ("n", "s", "q"))
+    marks = np.zeros(len(n), dtype=int)
+    marks[changepoints(n, s, q, penalty)[1:]] = 1
+    of = np.cumsum(marks)
+    count = np.bincount(of, n)
+    return of, (np.bincount(of, s) / count)[of], count[of]
+
+
+def base_levels(cells: DataFrame, strength: float = 3.0) -> DataFrame:
+    """(kind, field_name, base, variance, penalty): the level of plain amounts, that of the segment with most amounts in the history of
+    bare numbers. A history is bounded by the months."""
+
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("month", kind="stable")
         n, s, q = (pdf[c].to_numpy(float) for c in ("n", "s", "q"))
-        within = max((q - s * s / n).sum() / max(n.sum() - len(n), 1), 1e-4)
-        starts = changepoints(n, s, q, strength * within * np.log(max(n.sum(), 2)))
-        segment = np.zeros(len(n), dtype=int)
-        segment[starts[1:]] = 1
-        segment = np.cumsum(segment)
-        level = (np.bincount(segment, s) / np.bincount(segment, n))[segment]
-        plain = (pdf["named"] == 0).to_numpy()
-        base = np.average(level[plain], weights=n[plain]) if plain.any() else np.nan
-        shift = level - base
-        known = np.array(KNOWN)
-        near = known[np.abs(np.nan_to_num(shift)[:, None] - known).argmin(axis=1)]
-        matches = np.abs(shift - near) <= tolerance
-        named = pdf["named"].to_numpy(float, na_value=np.nan)
-        unit = np.where(np.isnan(named), np.where(matches, near, 0.0), named)
-        confirmed = np.abs(shift - unit) <= tolerance
-        return pdf[["kind", "field_name", "wording", "month"]].assign(shift=shift, unit=unit, confirmed=confirmed)
+        variance = max((q - s * s / n).sum() / max(n.sum() - len(n), 1), 1e-4)
+        penalty = strength * variance * np.log(max(n.sum(), 2))
+        _, levels, counts = _segments(pdf, penalty)
+        return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "field_name": pdf["field_name"].iloc[:1], "base": levels[counts.argmax()], "variance": variance, "penalty": penalty})
+
+    bare = cells.where("plain").select("kind", "field_name", "month", "n", "s", "q")
+    return bare.groupBy("kind", "field_name").applyInPandas(level, "kind string, field_name string, base double, variance double, penalty double")
 
-    return cells.groupBy("kind", "field_name").applyInPandas(history, "kind string, field_name string, wording string, month string, shift double, unit double, confirmed boolean")
 
+def unit_changes(cells: DataFrame, tolerance: float = 0.35, least: int = 5, least_against: int = 30, use_wording: bool = True) -> DataFrame:
+    """The unit of each cell: (kind, field_name, wording, month, shift, unit, decided).
 
-def marked_amounts(listings: DataFrame) -> DataFrame:
-    """Every amount with its unit: source_row_id, field_name, number, wording, unit (log10 written/toman), confirmed, toman.
+    cells: kind, field_name, wording, named, plain, month, n, s, q; one row per wording and month. One history (kind, field, wording)
+    is one group, bounded by the months. The factors within ``tolerance`` of the shift, or three standard errors if that is more, are
+    possible. decided: ``shift`` if one factor is possible or the wording doesn't name one that is (the nearest is taken), ``tie`` if the
+    wording picks one of several, ``wording`` if the history has no level (fewer than ``least`` amounts in the segment, no bare amounts to
+    compare with, or no factor near), so that what the wording names, else plain toman, is taken. use_wording=False: nothing is taken from the wording but the
+    name of the source. least_against: so many amounts a segment needs to overrule a factor that its wording names.
+    """
+    based = cells.join(base_levels(cells), ["kind", "field_name"], "left")
+
+    def history(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("month", kind="stable").reset_index(drop=True)
+        known = possible_units(pdf["field_name"].iloc[0] == "rent_value")
+        base, variance, penalty = (float(pdf[c].iloc[0]) for c in ("base", "variance", "penalty"))
+        named = float(pdf["named"].iloc[0]) if use_wording and pd.notna(pdf["named"].iloc[0]) else None
+        compared = base == base
+        _, level, count = _segments(pdf, penalty if compared else np.inf)
+        shift = level - base
+        unit, decided = np.full(len(pdf), named or 0.0), np.full(len(pdf), "wording", dtype=object)
+        for i in range(len(pdf) if compared else 0):
+            reach = max(tolerance, 3 * (variance / count[i]) ** 0.5)
+            far = np.abs(known - shift[i])
+            near = known[far <= reach]
+            if count[i] < (least if named is None or len(near) and np.abs(near - named).min() < 1e-6 else least_against) or not len(near):
+                continue
+            told = named is not None and bool((np.abs(near - named) < 1e-6).any())
+            if told and len(near) > 1:
+                decided[i] = "tie"
+            elif not told:
+                # Within the reach of plain toman a wording that names nothing is plain.
+                unit[i] = 0.0 if named is None and (np.abs(near) < 1e-6).any() else known[far.argmin()]
+                decided[i] = "shift"
+            else:
+                unit[i], decided[i] = near[0], "shift"
+        return pdf[["kind", "field_name", "wording", "month"]].assign(shift=shift, unit=unit, decided=decided)
+
+    return based.groupBy("kind", "field_name", "wording").applyInPandas(history, "kind string, field_name string, wording string, month string, shift double, unit double, decided string")
+
+
+def marked_amounts(listings: DataFrame, use_wording: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every amount with its unit: source_row_id, field_name, number, wording, unit (log10 written/toman), decided, toman, and the
+    columns of ``listings`` to keep.
 
     The amounts are written once; only compact cells are shuffled, as the cells' units (bounded by kinds x fields x wordings x months) are
     joined back. A zero amount is zero in any unit. NULL, blank and non-numeric fields have no row. Empty table: no rows.
     """
-    rows = written(amounts(listings))  # the descriptions are read once
+    rows = written(amounts(listings, keep))  # the descriptions are read once
     value = F.log10(F.col("number") / F.coalesce(F.col("size"), F.lit(1.0)))
     keys = ["kind", "field_name", "wording", "month"]
     sized = rows.where("number > 0")
-    cells = sized.groupBy(*keys, "named").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(value * value).alias("q"))
-    units = unit_changes(cells).dropDuplicates(keys)
+    cells = sized.groupBy(*keys).agg(F.first("named").alias("named"), F.bool_and("plain").alias("plain"), F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(value * value).alias("q"))
+    units = unit_changes(cells, use_wording=use_wording)
     unit = F.coalesce(F.col("unit"), F.lit(0.0))
-    return rows.join(units, keys, "left").select("source_row_id", "field_name", "number", "wording", unit.alias("unit"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"), toman(F.col("number"), unit).alias("toman"))
+    return rows.join(units, keys, "left").select("source_row_id", *keep, "field_name", "number", "wording", unit.alias("unit"), F.coalesce("decided", F.lit("wording")).alias("decided"), toman(F.col("number"), unit).alias("toman"))
+
+
+def decisions(listings: DataFrame) -> DataFrame:
+    """field_name, decided, amounts, differ: by what amounts got their unit, and how many of them the wording names otherwise."""
+    marked = marked_amounts(listings)
+    named = F.coalesce(named_unit(F.col("wording"), F.col("field_name") == "rent_value"), F.lit(0.0))
+    return marked.where("number > 0").groupBy("field_name", "decided").agg(F.count(F.lit(1)).alias("amounts"), F.count_if(F.abs(named - F.col("unit")) > 1e-6).alias("differ"))
 
 
 def not_plain(listings: DataFrame) -> DataFrame:

@@ -38,7 +38,11 @@ def p6_toman(spark, d):
     return units.in_toman(spread(table(spark, d, "listings"), *AMOUNTS))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_observation_prices, p1_listing_counts, p4_found, p4_filled, p6_found, p6_toman)}
+def p6_decisions(spark, d):
+    return units.decisions(spread(table(spark, d, "listings"), *AMOUNTS))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_observation_prices, p1_listing_counts, p4_found, p4_filled, p6_found, p6_toman, p6_decisions)}
 
 _C, _N = given_sql("city_slug"), given_sql("neighborhood_slug")
 SQL = {

@@ -111,4 +111,35 @@ def test_shift_gives_the_unit_of_an_unknown_wording(listings):
     rows = [{"source_row_id": i, "cat3_slug": "apartment-sell", "price_value": str(2_000_000_000 + i * 1_000_000), "building_size": "100"} for i in range(300)]
     rows += [{"source_row_id": 1000 + i, "cat3_slug": "apartment-sell", "price_value": f"{2000 + i} zz", "building_size": "100"} for i in range(60)]
     got = {r.source_row_id: r for r in units.marked_amounts(listings(rows)).collect()}
-    assert got[1005].toman == 2_005_000_000 and got[1005].confirmed and got[5].toman == 2_005_000_000
+    assert got[1005].toman == 2_005_000_000 and got[1005].decided == "shift" and got[5].toman == 2_005_000_000
+
+
+def test_a_silent_change_of_unit_is_reversed(listings):
+    """Bare numbers of one source that are ten times as large from some month on."""
+    rows = [{"source_row_id": 100 * m + i, "price_value": str((2000 + i) * 1_000_000 * (10 if m > 6 else 1)), "cat3_slug": "apartment-sell", "created_at_month": f"2024-{m:02d}-01", "building_size": "100"} for m in range(1, 11) for i in range(12)]
+    got = units.marked_amounts(listings(rows)).collect()
+    assert {(r.unit, r.decided) for r in got if r.source_row_id >= 700} == {(1.0, "shift")} and {r.unit for r in got if r.source_row_id < 700} == {0.0}
+    assert {r.toman for r in got if r.source_row_id % 100 == 3} == {2_003_000_000}
+
+
+def test_shift_and_wording(listings):
+    """The shift decides without named units; the wording breaks ties, and holds against a thin segment but not against a thick one."""
+    plain = [{"source_row_id": i, "rent_value": str(10_000_000 + i), "cat3_slug": "apartment-rent", "created_at_month": "2024-01-01", "building_size": "100"} for i in range(60)]
+    said = lambda at, n, text, value: [{"source_row_id": at + i, "rent_value": text.format(value + i), "cat3_slug": "apartment-rent", "created_at_month": "2024-01-01", "building_size": "100"} for i in range(n)]
+    df = listings(plain + said(1000, 10, "{} ریال", 100_000_000) + said(2000, 10, "{} سالانه", 120_000_000) + said(3000, 8, "{} میلیون", 10_000_000) + said(4000, 40, "{} هزار", 10_000_000))
+    got = {r.source_row_id: r for r in units.marked_amounts(df).collect()}
+    assert got[1000].unit == 1 and got[1000].decided == "tie" and abs(got[2000].unit - units.YEAR) < 1e-9 and got[2000].toman == 10_000_000
+    assert got[3000].unit == -6 and got[3000].decided == "wording" and got[4000].unit == 0 and got[4000].decided == "shift"
+    blind = {r.source_row_id: r for r in units.marked_amounts(df, use_wording=False).collect()}
+    assert abs(blind[1000].unit - 1) < 0.1 and abs(blind[2000].unit - 1) < 0.1 and blind[3000].unit == 0
+
+
+def test_remarks(spark):
+    cases = [
+        ("مبلغ وام به تومان است. همه مبالغ این آگهی به ریال است.", 1.0), ("همه مبالغ به میلیون تومان", -6.0), ("figures in millions", -6.0), ("مبلغ اجاره سالانه است", units.YEAR),
+        ("مبلغ وام ۲۰۰ میلیون تومان", None), ("loan amounts are in rials", None), (None, None), ("", None), ("نور " * 20_000 + "ارقام به ریال", 1.0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.u for r in df.select("i", units.named_unit(units.remark(F.col("t")), F.lit(True)).alias("u")).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert (got[i] is None and want is None) or abs(got[i] - want) < 1e-9, (text, got[i])
