@@ -10,7 +10,9 @@ language the model and, if it names one, the document's label agree.
 
 from __future__ import annotations
 
+import heapq
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -134,16 +136,27 @@ def _posterior(scores: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def train(samples: DataFrame, documents: DataFrame, most_documents: int = 1200, rounds: int = 2, sure: float = 0.98) -> Backoff:
-    """The model from the right examples and at most ``most_documents`` documents, those with the smallest hash of their id."""
+def train(samples: DataFrame, documents: DataFrame, most_documents: int = 1200, most_sentences: int = 120, rounds: int = 2, sure: float = 0.98) -> Backoff:
+    """The model from the right examples and a bounded sample: of at most ``most_documents`` documents, those with the smallest hash of
+    their id, ``most_sentences`` sentences each at most, those with the smallest hash. Only the ids are sorted; sentences are cut where
+    the texts lie, and the driver gets no whole text."""
     counts: dict[str, Counter] = defaultdict(Counter)
     for r in samples.where("text IS NOT NULL AND lang_code IS NOT NULL").select("lang_code", "text").collect():
         counts[r.lang_code].update(words_of(r.text))
     if not counts:
         raise ValueError("no right examples to start from")
     model = Backoff(counts)
-    docs = documents.where("text IS NOT NULL").select("lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents).collect()
-    parts = [(label_code(r.lang), words_of(r.text[a:b])) for r in docs for a, b in sentences(r.text)]
+    chosen = documents.where("text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for label, text in zip(pdf["lang"], pdf["text"]):
+                found = (text[a:b] for a, b in sentences(text) if b - a <= 2000)
+                least = heapq.nsmallest(most_sentences, ((zlib.crc32(x.encode("utf-8", "surrogatepass")), x) for x in found))
+                yield pd.DataFrame({"label": [label] * len(least), "sentence": [x for _, x in least]})
+
+    texts = documents.where("text IS NOT NULL").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("lang", "text")
+    parts = [(label_code(r.label), words_of(r.sentence)) for r in texts.mapInPandas(cut, "label string, sentence string").collect()]
     parts = [(label, ws) for label, ws in parts if len(ws) >= 3]
     for _ in range(rounds if parts else 0):
         p = _posterior(Scorer(model).scores([ws for _, ws in parts]))

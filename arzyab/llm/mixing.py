@@ -31,7 +31,7 @@ def poisson_steps(rate: float, most: int) -> list[float]:
 
 
 def _rate(tokens: np.ndarray, most: int, wanted: float) -> float:
-    """The smallest rate at which the tokens of each range of u, times the repeats of its middle, give ``wanted``."""
+    """The rate at which the tokens of each range of u, times the repeats of its middle, come closest to ``wanted``."""
     u = (np.arange(RANGES) + 0.5) / RANGES
 
     def given(rate: float) -> float:
@@ -41,7 +41,7 @@ def _rate(tokens: np.ndarray, most: int, wanted: float) -> float:
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if given(middle) < wanted else (low, middle)
-    return high
+    return low if wanted - given(low) < given(high) - wanted else high
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -50,7 +50,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     targets: source, target_share, max_repeats (a fixed small table). Repeated texts count as one text, that of the smallest
     doc_id, so no text is used more than max_repeats times under whatever id. NULL and empty texts and sources without a target
     have no place in the mix. total_tokens: size of the mix; without it, the size of the corpus, lowered to what every source
-    can give of its share. An empty table gives no rows.
+    can give of its share. A share misses its target by half of the longest text's tokens at most, over the size of the mix. An empty table gives no rows.
     """
     known = documents.where("text IS NOT NULL AND text <> ''").select("doc_id", "source", "text", F.sha2("text", 256).alias("digest"))
     # Tokens are counted where the texts lie; only numbers are shuffled to find repeated texts.
@@ -64,7 +64,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     sums = {s: t.sum() for s, t in table.items()}
     if total_tokens is None:
         most = [sums[s] * g.max_repeats / g.target_share for s, g in goals.items() if g.target_share > 0 and sums[s] > 0]
-        total_tokens = int(min([sum(sums.values()), *[0.9 * m for m in most]])) if most else 0
+        total_tokens = int(min([sum(sums.values()), *most])) if most else 0
     steps = {s: poisson_steps(_rate(table[s], g.max_repeats, g.target_share * total_tokens), g.max_repeats) for s, g in goals.items() if g.target_share > 0}
     uses = F.lit(0)
     for s, at in steps.items():

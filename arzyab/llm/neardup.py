@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +28,17 @@ from arzyab.llm.normalize import consistent_text
 from arzyab.operators.units import with_stated_toman
 
 DIGITS = str.maketrans("۰۱۲۳۴۵۶۷۸۹", "0123456789")
+PUNCTUATION = "".join(c for c in map(chr, range(0x3100)) if unicodedata.category(c)[0] in "PS")
 SKETCH_BITS, ODD_WORDS = 512, 8
 EDGE = 0.6  # width of a size bucket, in ln
 MISSING = 0  # code of a price that isn't given
 
 
 def word_set(text: str, seen: dict[str, int]) -> np.ndarray:
-    """Sorted hashes of the distinct words of a text in consistent form: U+200C dropped, digits alike, case ignored.
+    """Sorted hashes of the distinct words of a text in consistent form: U+200C dropped, digits alike, case ignored. Punctuation at a
+    word's ends is no part of it, and what is only punctuation is no word.
 
-    seen: word as written -> hash; it is emptied when it outgrows its bound.
+    seen: word as written -> hash, 0 for no word; it is emptied when it outgrows its bound.
     """
     words = text.split()
     hashes = set(map(seen.get, words))
@@ -44,8 +47,10 @@ def word_set(text: str, seen: dict[str, int]) -> np.ndarray:
             seen.clear()
         for w in words:
             if w not in seen:
-                seen[w] = xxhash.xxh32_intdigest(w.replace("\u200c", "").translate(DIGITS).lower())
+                bare = w.strip(PUNCTUATION).replace("\u200c", "").translate(DIGITS).lower()
+                seen[w] = xxhash.xxh32_intdigest(bare) or 1 if bare else 0
         hashes = set(map(seen.get, words))
+    hashes.discard(0)
     a = np.fromiter(hashes, dtype=np.uint32, count=len(hashes))
     a.sort()
     return a
@@ -92,8 +97,10 @@ def _described_sets(pdf: pd.DataFrame, least_words: int, seen: dict[str, int]) -
     for i, (t, d) in enumerate(zip(pdf["title"], pdf["description"])):
         d = consistent_text(d)
         if len(d.split()) >= least_words:
-            keep.append(i)
-            sets.append(word_set(f"{consistent_text(t) or ''} {d}", seen))
+            words = word_set(f"{consistent_text(t) or ''} {d}", seen)
+            if len(words):
+                keep.append(i)
+                sets.append(words)
     return keep, sets
 
 
@@ -164,7 +171,7 @@ def candidate_pairs(ads: DataFrame, bands: int, size_within: float, price_within
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by key; the last run of a batch is carried over to the next."""
         s_reach, p_reach = int(reach / 0.005) + 2, int(price_reach / 0.01) + 2
-        rest: list[np.ndarray] | None = None
+        rest: list[list[np.ndarray]] = []  # parts of a run that may go on
 
         def near(ia: np.ndarray, ib: np.ndarray, ids: np.ndarray, code: np.ndarray) -> pd.DataFrame:
             s, p = code >> 14, code & 16383
@@ -195,27 +202,28 @@ def candidate_pairs(ads: DataFrame, bands: int, size_within: float, price_within
             if not len(pdf):
                 continue
             now = [pdf["key"].to_numpy(), pdf["class_id"].to_numpy(), pdf["code"].to_numpy()]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
             cut = int(np.searchsorted(now[0], now[0][-1]))
-            rest = [x[cut:] for x in now]
-            if cut:
+            if rest and (cut or rest[0][0][0] != now[0][0]):  # the run that was open ends in this batch, or ended before it
+                yield from runs(*[np.concatenate(x) for x in zip(*rest, [x[:cut] for x in now])])
+                rest = []
+            elif cut:
                 yield from runs(*[x[:cut] for x in now])
-        if rest is not None and len(rest[0]):
-            yield from runs(*rest)
+            rest.append([x[cut:] for x in now])
+        if rest:
+            yield from runs(*[np.concatenate(x) for x in zip(*rest)])
 
     rows = ads.select("class_id", "size", "price", "bands").mapInPandas(banded, "key long, class_id long, code int")
     return rows.repartition("key").sortWithinPartitions("key", "class_id").mapInPandas(paired, "a long, b long").distinct()
 
 
-def similar_pairs(listings: DataFrame, similarity: float = 0.7, size_within: float = 0.05, price_within: float = 0.2, least_words: int = 35, bands: int = 48, rows: int = 7, slack: float = 0.12, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(listings: DataFrame, similarity: float = 0.7, size_within: float = 0.05, price_within: float = 0.2, least_words: int = 35, bands: int = 48, rows: int = 7, slack: float = 0.165, broadcast_rows: int = 150_000) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes a < b, members row_id -> class_id). A class holds the ads of equal word set, size and price.
 
     bands and rows set which pairs become candidates: at similarity 0.7 all but 2 %, at 0.75 all but 0.1 %, at 0.8 all but 0.002 %;
     more bands find more, more rows a band keep chance pairs few as the collection grows. slack is how far below the threshold a
-    sketch's estimate may lie (four standard errors). Ads without description, size or enough words have no partner. A price of 0 is
+    sketch's estimate may lie (four standard errors of 0.041). Ads without description, size or enough words have no partner. A price of 0 is
     none. Empty tables give no rows. broadcast_rows: up to so many ads of surviving pairs their ids are broadcast to pick their texts;
-    beyond it the pick is a shuffled join.
+    beyond it the pick is a shuffled join (150,000 rows take about 64 MB as a hash table).
     """
     ads = written(described(listings, bands, rows, least_words))
     odd = [f"s{w}" for w in range(ODD_WORDS)]
@@ -262,14 +270,14 @@ def pairs_found(listings: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, group): connected components by alternating large-star and small-star steps; group is the least node.
 
-    edges: a, b. Each round is a grouped minimum and a join, checkpointed to the shared folder; stops when nothing changes.
+    edges: a, b. Each round is a grouped minimum and a join, checkpointed to the shared folder; it ends when nothing changes, after about log(nodes)^2 rounds at most.
     """
     checkpoint_dir(edges.sparkSession)
     now = edges.select("a", "b").where("a <> b").distinct().checkpoint()
-    for _ in range(most_rounds):
+    while True:
         sides = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = sides.join(low, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a <> b").distinct()

@@ -69,6 +69,13 @@ def p8_fill(spark, d):
     return packing.fill_report(p8_containers(spark, d), table(spark, d, "pack_capacities"))
 
 
+def p8_tight(spark, d):
+    """Containers in which all three constraints bind: at most 1/256 of the capacity in pieces, a third of its square in attention cost."""
+    bounds = dict(max_documents_share=1 / 256, attention_share=1 / 3)
+    capacities = table(spark, d, "pack_capacities")
+    return packing.constraint_report(packing.pack(spread(table(spark, d, "documents"), "doc_id", "text"), capacities, **bounds), capacities, **bounds)
+
+
 def p9_mix(spark, d):
     return mixing.mix(spread(table(spark, d, "documents"), "doc_id", "text", "source"), table(spark, d, "source_targets"))
 
@@ -93,7 +100,7 @@ def p10_segments(spark, d):
     return language.language_segments(spread(table(spark, d, "documents"), *TEXTS), _language_model(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p3_found, p3_masked, p5_listing_percentiles, p5_observed_percentiles, p5_city_percentiles, p7_found, p7_offers, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_normalised, p3_found, p3_masked, p5_listing_percentiles, p5_observed_percentiles, p5_city_percentiles, p7_found, p7_offers, p8_containers, p8_fill, p8_tight, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)}
 
 _LAST = "SELECT city_slug, analysis_month, price_value_toman FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY received_at DESC NULLS LAST, price_value_toman DESC NULLS LAST, city_slug DESC NULLS LAST, analysis_month DESC NULLS LAST) AS k FROM price_observations) WHERE k = 1"
 SQL = {

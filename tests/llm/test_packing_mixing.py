@@ -83,3 +83,34 @@ def test_shares_caps_and_repeats(spark):
     keys = [r.shuffle_key for r in rows]
     assert keys == sorted(keys) and [r.doc_id for r in rows] != sorted(r.doc_id for r in rows)
     assert mixing.mix(df.limit(0), targets).count() == 0
+
+
+def test_the_mix_is_all_that_the_scarcest_source_allows(spark):
+    docs = spark.createDataFrame([(i, f"word {i} " * 5, "scarce" if i < 10 else "rich") for i in range(400)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("scarce", 0.5, 2), ("rich", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.share_report(mixing.mix(docs, targets), targets).collect()}
+    assert got["scarce"].texts == 10 and got["scarce"].most_repeats == 2 and abs(got["scarce"].actual_share - 0.5) < 0.03
+
+
+def test_attention_bound_does_not_depend_on_other_pieces(spark):
+    """A piece beyond the bound is alone; it doesn't raise the bound of the rest."""
+    docs = spark.createDataFrame([(i, "a " * 60) for i in range(8)] + [(100, "a " * 100)], "doc_id long, text string")
+    caps = spark.createDataFrame([(1, 128)], "capacity_id int, capacity_tokens int")
+    got = packing.pack(docs, caps, attention_share=0.4, max_documents_share=1.0).collect()
+    cost: dict = {}
+    for r in got:
+        cost.setdefault(r.container_id, []).append(r.tokens)
+    assert len(got) == 9
+    for sizes in cost.values():
+        assert len(sizes) == 1 or sum(t * t for t in sizes) <= 0.4 * 128 * 128
+
+
+def test_shards_are_merged_where_they_are_left_open(spark):
+    docs = spark.createDataFrame([(i, "a " * (3 + i % 40)) for i in range(300)], "doc_id long, text string")
+    caps = spark.createDataFrame([(1, 512)], "capacity_id int, capacity_tokens int")
+    report = lambda **k: packing.fill_report(packing.pack(docs, caps, **k), caps).first()
+    many, apart, one = report(shard_items=20), report(shard_items=20, reopened=0), report()
+    assert many.tokens == apart.tokens == one.tokens and one.containers <= many.containers < apart.containers
+    assert packing.pack(docs, caps, shard_items=20).select("doc_id").distinct().count() == 300
+    ids = lambda: sorted((r.container_id, r.doc_id) for r in packing.pack(docs, caps, shard_items=20).collect())
+    assert ids() == ids()
