@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arzyab.operators.percentiles import group_percentiles
+
 
 def fallback_reference(df: DataFrame, value: str, chains: list[list[str]], least_rows: int, name: str) -> DataFrame:
     """``df`` with the median of ``value`` in the narrowest key group of the chain with enough rows, and which level gave it.
@@ -16,12 +18,12 @@ def fallback_reference(df: DataFrame, value: str, chains: list[list[str]], least
     levels = []
     out = df
     for i, keys in enumerate(chains):
-        ref = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(f"k{j}_") for j, k in enumerate(keys)]).agg(F.percentile(value, 0.5).alias(f"m{i}_"), F.count(F.lit(1)).alias("n_")).where(F.col("n_") >= least_rows).drop("n_")
+        ref = group_percentiles(df.select(*[F.col(k).alias(f"key{j}_") for j, k in enumerate(keys)], F.col(value).alias("value_")), [f"key{j}_" for j in range(len(keys))], "value_", {f"m{i}_": 0.5}, least_rows=least_rows).drop("n")
         if keys:
             on = F.lit(True)
             for j, k in enumerate(keys):
-                on &= out[k].eqNullSafe(ref[f"k{j}_"])
-            out = out.join(ref, on, "left").drop(*[f"k{j}_" for j in range(len(keys))])
+                on &= out[k].eqNullSafe(ref[f"key{j}_"])
+            out = out.join(ref, on, "left").drop(*[f"key{j}_" for j in range(len(keys))])
         else:
             out = out.crossJoin(F.broadcast(ref.agg(F.first(f"m{i}_").alias(f"m{i}_"))))  # one row
         found.append(F.col(f"m{i}_"))

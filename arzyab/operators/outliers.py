@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arzyab.operators.percentiles import group_percentiles
+
 
 def iqr_bounds(df: DataFrame, keys: list[str], value: str, multiplier: float, least_rows: int) -> DataFrame:
     """keys, n, lower, upper of groups with enough positive values and a spread; the lower bound is at least 0."""
     q1, q3 = F.col("q1"), F.col("q3")
     return (
-        df.where(F.col(value) > 0).groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
-        .where((F.col("n") >= least_rows) & (q3 > q1))
+        group_percentiles(df.where(F.col(value) > 0), keys, value, {"q1": 0.25, "q3": 0.75}, least_rows=least_rows).where(q3 > q1)
         .select(*keys, "n", F.greatest(F.lit(0.0), q1 - multiplier * (q3 - q1)).alias("lower"), (q3 + multiplier * (q3 - q1)).alias("upper"))
     )
 
@@ -34,9 +35,9 @@ def sensitivity(df: DataFrame, value: str) -> DataFrame:
     """One row: n and how many values three global rules would flag (2 and 3 x IQR, log-MAD 3.5)."""
     v = F.col(value).cast("double")
     positive = df.where(v > 0).select(v.alias("v"), F.ln(v).alias("l"))
-    a = positive.agg(F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.75).alias("q3"), F.percentile("l", 0.5).alias("m"))
-    with_a = positive.crossJoin(F.broadcast(a))  # one row
-    d = with_a.agg(F.percentile(F.abs(F.col("l") - F.col("m")), 0.5).alias("mad"))
+    a = group_percentiles(positive, [], "v", {"q1": 0.25, "q3": 0.75}).drop("n").crossJoin(group_percentiles(positive, [], "l", {"m": 0.5}).drop("n"))  # one row each
+    with_a = positive.crossJoin(F.broadcast(a))
+    d = group_percentiles(with_a, [], F.abs(F.col("l") - F.col("m")), {"mad": 0.5}).drop("n")
     out = lambda k: F.count_if((F.col("v") < F.greatest(F.lit(0.0), F.col("q1") - k * (F.col("q3") - F.col("q1")))) | (F.col("v") > F.col("q3") + k * (F.col("q3") - F.col("q1"))))
     return with_a.crossJoin(F.broadcast(d)).agg(F.count(F.lit(1)).alias("n"), out(2.0).alias("iqr2"), out(3.0).alias("iqr3"), F.count_if(F.abs(F.col("l") - F.col("m")) / (1.4826 * F.col("mad")) > 3.5).alias("log_mad"))
 
@@ -51,6 +52,6 @@ def minimum_n(df: DataFrame, keys: list[str], thresholds: list[int]) -> DataFram
 def trimmed(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows within the central quantiles of each column in turn, each column's quantiles taken after the trims before it."""
     for c in columns:
-        q = df.agg(F.percentile(c, low).alias("lo_"), F.percentile(c, high).alias("hi_"))
+        q = group_percentiles(df, [], c, {"lo_": low, "hi_": high}).drop("n")
         df = df.crossJoin(F.broadcast(q)).where(F.col(c).between(F.col("lo_"), F.col("hi_"))).drop("lo_", "hi_")
     return df

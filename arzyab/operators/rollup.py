@@ -7,24 +7,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arzyab.operators.percentiles import group_percentiles
 
-def quartiles(value: str, at: tuple[float, ...] = (0.25, 0.5, 0.75), names: tuple[str, ...] = ("p25", "median", "p75"), digits: int | None = None) -> list[Column]:
-    """Exact linear percentiles as columns, rounded if digits are given."""
-    return [(F.percentile(value, q) if digits is None else F.round(F.percentile(value, q), digits)).alias(n) for q, n in zip(at, names)]
 
+QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
-def rollup_levels(df: DataFrame, period: str, levels: list[str], aggs: list[Column]) -> DataFrame:
-    """One row per period and (nothing / first level / first two levels ...), with ``level`` = number of levels kept.
 
-    Each row goes to every level once, then one aggregation serves all levels. A NULL level value is data, not a total, and ``level``
-    tells them apart. At the finest level rows without its key are left out, as they name no place. NULL periods are their own group.
-    """
+def at_levels(df: DataFrame, levels: list[str]) -> DataFrame:
+    """Each row once for every level (nothing / first level / first two levels ...), with ``level`` = number of levels kept. A NULL level
+    value is data, not a total, and ``level`` tells them apart. At the finest level rows without its key are left out, as they name no
+    place."""
     expanded = df.select("*", F.explode(F.array(*[F.lit(k) for k in range(len(levels) + 1)])).alias("level"))
     for i, name in enumerate(levels):
         expanded = expanded.withColumn(name, F.when(F.col("level") > i, F.col(name)))
     if levels:
         expanded = expanded.where((F.col("level") < len(levels)) | F.col(levels[-1]).isNotNull())
-    return expanded.groupBy(period, "level", *levels).agg(*aggs)
+    return expanded
+
+
+def rollup_levels(df: DataFrame, period: str, levels: list[str], aggs: list[Column]) -> DataFrame:
+    """One row per period and level with its keys. Each row goes to every level once (after column pruning), then one aggregation serves all
+    levels; aggregates should combine before the shuffle (for percentiles see ``level_percentiles``). NULL periods are a group."""
+    return at_levels(df, levels).groupBy(period, "level", *levels).agg(*aggs)
+
+
+def level_percentiles(df: DataFrame, period: str, levels: list[str], value: str, wanted: dict[str, float] = QUARTILES) -> DataFrame:
+    """period, level, levels, n (values given) and exact percentiles of ``value``, safe for groups of any size."""
+    return group_percentiles(at_levels(df.select(period, *levels, value), levels), [period, "level", *levels], value, wanted)
 
 
 def named_places(df: DataFrame, levels: list[str], level: str = "level") -> DataFrame:

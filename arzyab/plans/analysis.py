@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arzyab.functions import columns as C
 from arzyab.operators import lookup, profile, ranks, resolution, statistics, trends
+from arzyab.operators.percentiles import group_percentiles
 from arzyab.plans.relational import PLACED, placed_orders
 from arzyab.sources.tables import spread, table
 
@@ -24,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _market(spark, d):
-    return placed_orders(spark, d).groupBy("city", "month").agg(F.percentile("o_totalprice", 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
+    return group_percentiles(placed_orders(spark, d), ["city", "month"], "o_totalprice", {"median": 0.5})
 
 
 def _features(spark, d):
@@ -212,4 +213,6 @@ def listing_profile(spark, d):
 
 @query(f"WITH t AS ({_TYPED}) SELECT property_family, round(median(latitude), 2) AS latitude, round(median(longitude), 2) AS longitude, count(latitude) AS n FROM t WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1")
 def median_coordinates(spark, d):
-    return typed_listings(spark, d).where("latitude IS NOT NULL AND longitude IS NOT NULL").groupBy("property_family").agg(F.round(F.percentile("latitude", 0.5), 2).alias("latitude"), F.round(F.percentile("longitude", 0.5), 2).alias("longitude"), F.count("latitude").alias("n"))
+    rows = typed_listings(spark, d).where("latitude IS NOT NULL AND longitude IS NOT NULL").select("property_family", "latitude", "longitude")
+    of = lambda c: group_percentiles(rows, ["property_family"], c, {c: 0.5})
+    return of("latitude").join(of("longitude").drop("n"), "property_family").select("property_family", F.round("latitude", 2).alias("latitude"), F.round("longitude", 2).alias("longitude"), "n")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arzyab.ml import features, ridge, segments
 from arzyab.operators import measures, spatial
+from arzyab.operators.percentiles import group_percentiles
 from arzyab.plans.analysis import typed_listings
 from arzyab.plans.relational import PLACED, placed_orders
 from arzyab.sources.tables import table
@@ -110,7 +111,7 @@ _MONTHLY = f"SELECT city, month, median(o_totalprice) AS median FROM ({PLACED})
 
 
 def _monthly(spark, d):
-    return placed_orders(spark, d).groupBy("city", "month").agg(F.percentile("o_totalprice", 0.5).alias("median"))
+    return group_percentiles(placed_orders(spark, d), ["city", "month"], "o_totalprice", {"median": 0.5}).drop("n")
 
 
 @query(f"SELECT city, max(month) AS month, max_by(median, month) AS median FROM ({_MONTHLY}) GROUP BY 1")

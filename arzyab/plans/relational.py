@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arzyab.functions import columns as C
 from arzyab.operators import outliers, profile, ranks, rollup
+from arzyab.operators.percentiles import group_percentiles
 from arzyab.sources.tables import table
 
 QUERIES: dict = {}
@@ -35,7 +36,7 @@ _LEVELS = f"SELECT month, 0 AS level, CAST(NULL AS VARCHAR) AS city, CAST(NULL A
 
 
 def _levels(spark, d):
-    return rollup.rollup_levels(placed_orders(spark, d), "month", ["city", "part"], [F.count("o_totalprice").alias("n"), *rollup.quartiles("o_totalprice", digits=6)])
+    return rollup.level_percentiles(placed_orders(spark, d), "month", ["city", "part"], "o_totalprice")
 
 
 @query(f"WITH p AS ({PLACED}) {_LEVELS}")
@@ -50,14 +51,16 @@ def rollup_mom(spark, d):
 
 @query(f"WITH p AS ({PLACED}), r AS (SELECT month, city, part, median(o_totalprice) AS median FROM p WHERE part <> 'BUILDING' OR month(month) % 3 <> 0 GROUP BY ALL) SELECT month, city, part, CASE WHEN (year(month) * 12 + month(month)) - (lag(year(month) * 12 + month(month)) OVER w) = 1 AND lag(median) OVER w <> 0 THEN (median / lag(median) OVER w - 1) * 100 END AS mom_pct FROM r WINDOW w AS (PARTITION BY city, part ORDER BY month)")
 def mom_adjacent_months(spark, d):
-    rows = placed_orders(spark, d).where((F.col("part") != "BUILDING") | (F.month("month") % 3 != 0)).groupBy("month", "city", "part").agg(F.percentile("o_totalprice", 0.5).alias("median"))
+    rows = placed_orders(spark, d).where((F.col("part") != "BUILDING") | (F.month("month") % 3 != 0))
+    rows = group_percentiles(rows, ["month", "city", "part"], "o_totalprice", {"median": 0.5}).drop("n")
     return rollup.change_from_previous(rows, ["city", "part"], "month", "median", "mom_pct", F.year("month") * 12 + F.month("month")).select("month", "city", "part", "mom_pct")
 
 
 @query("WITH s AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, nullif(l_returnflag, 'N') AS flag, count(*) AS supply FROM lineitem GROUP BY ALL), p AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, nullif(o_orderstatus, 'O') AS flag, median(o_totalprice) AS median FROM orders GROUP BY ALL) SELECT coalesce(s.month, p.month) AS month, coalesce(s.flag, p.flag) AS flag, supply, median FROM s FULL JOIN p ON s.month IS NOT DISTINCT FROM p.month AND s.flag IS NOT DISTINCT FROM p.flag")
 def supply_price_fulljoin(spark, d):
     s = table(spark, d, "lineitem").groupBy(F.date_trunc("month", "l_shipdate").cast("date").alias("month"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("flag")).agg(F.count(F.lit(1)).alias("supply"))
-    p = table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.nullif(F.col("o_orderstatus"), F.lit("O")).alias("flag")).agg(F.percentile("o_totalprice", 0.5).alias("median"))
+    p = table(spark, d, "orders").select(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.nullif(F.col("o_orderstatus"), F.lit("O")).alias("flag"), "o_totalprice")
+    p = group_percentiles(p, ["month", "flag"], "o_totalprice", {"median": 0.5}).drop("n")
     return rollup.full_join_on(s, p, ["month", "flag"])
 
 
@@ -96,7 +99,7 @@ _PARTS = "SELECT p_brand, p_type, count(*) AS n, median(p_retailprice / p_size)
 
 
 def _parts(spark, d):
-    return table(spark, d, "part").select("p_brand", "p_type", (F.col("p_retailprice") / F.col("p_size")).alias("v")).groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), *rollup.quartiles("v"))
+    return table(spark, d, "part").select("p_brand", "p_type", (F.col("p_retailprice") / F.col("p_size")).alias("v")).transform(group_percentiles, ["p_brand", "p_type"], "v", rollup.QUARTILES)
 
 
 @query(f"SELECT *, p75 - p25 AS iqr, n >= 10 AS reliable FROM ({_PARTS})")
@@ -179,7 +182,7 @@ def dims_location(spark, d):
 @query(f"WITH p AS ({PLACED}), a AS (SELECT city, count(*) AS n, median(o_totalprice) AS median FROM p WHERE part = 'BUILDING' GROUP BY 1), b AS (SELECT n_name AS city, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 8000 GROUP BY 1) SELECT a.city, n, median, suppliers, 'both_or_price' AS origin FROM a LEFT JOIN b ON a.city = b.city UNION ALL SELECT b.city, NULL, NULL, suppliers, 'supply_only' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.city = b.city)")
 def location_mart(spark, d):
     p = placed_orders(spark, d)
-    a = p.where("part = 'BUILDING'").groupBy("city").agg(F.count(F.lit(1)).alias("n"), F.percentile("o_totalprice", 0.5).alias("median"))
+    a = group_percentiles(p.where("part = 'BUILDING'"), ["city"], "o_totalprice", {"median": 0.5})
     b = table(spark, d, "supplier").where("s_acctbal > 8000").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("city")).agg(F.count(F.lit(1)).alias("suppliers"))
     return rollup.union_all([a.join(b, "city", "left").withColumn("origin", F.lit("both_or_price")), b.join(a, "city", "left_anti").withColumn("origin", F.lit("supply_only"))])
 
@@ -187,7 +190,7 @@ def location_mart(spark, d):
 @query(f"WITH p AS ({PLACED}), c AS (SELECT city, month, median(o_totalprice) AS m, count(*) AS k FROM p GROUP BY ALL HAVING count(*) >= 5), j AS (SELECT o_totalprice / m AS r FROM p JOIN c USING (city, month)) SELECT count(*) AS n, avg(CAST(r BETWEEN 0.5 AND 2 AS INT)) AS within, avg(CAST(r BETWEEN 0.08 AND 0.125 AS INT)) AS tenth, avg(CAST(r BETWEEN 8 AND 12.5 AS INT)) AS tenfold FROM j")
 def decade_share(spark, d):
     p = placed_orders(spark, d)
-    cells = p.groupBy("city", "month").agg(F.percentile("o_totalprice", 0.5).alias("m"), F.count(F.lit(1)).alias("k")).where("k >= 5")
+    cells = group_percentiles(p, ["city", "month"], "o_totalprice", {"m": 0.5}, least_rows=5).drop("n")
     r = p.join(cells, ["city", "month"]).select((F.col("o_totalprice") / F.col("m")).alias("r"))
     part = lambda a, b, n: F.avg(F.col("r").between(a, b).cast("int")).alias(n)
     return r.agg(F.count(F.lit(1)).alias("n"), part(0.5, 2, "within"), part(0.08, 0.125, "tenth"), part(8, 12.5, "tenfold"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arzyab.functions import columns as C
 from arzyab.operators import marts, profile, quality, ranks, rollup, spatial, statistics, trends
+from arzyab.operators.percentiles import group_percentiles
 from arzyab.plans.analysis import _TYPED, _features, _rounded, _temperature, _temperature_sql, typed_listings
 from arzyab.plans.relational import _LEVELS, PLACED, _levels, placed_orders
 from arzyab.sources.tables import table
@@ -39,7 +40,8 @@ def mart_monthly(spark, d):
 @query("WITH s AS (SELECT p_brand AS segment, median(p_retailprice) AS median_price, median(p_size) AS median_size, count(*) AS n FROM part GROUP BY 1), t AS (SELECT p_brand AS segment, p_type, count(*) AS c FROM part GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY c DESC, p_type) AS place FROM t), g AS (SELECT segment, max(CASE WHEN place = 1 THEN p_type END) AS top_1, max(CASE WHEN place = 2 THEN p_type END) AS top_2 FROM k GROUP BY 1) SELECT s.segment, median_price, median_size, n, CAST(n AS DOUBLE) / (SELECT sum(n) FROM s) AS share, top_1, top_2 FROM s JOIN g ON s.segment = g.segment")
 def segment_profile(spark, d):
     p = table(spark, d, "part")
-    s = p.groupBy(F.col("p_brand").alias("segment")).agg(F.percentile("p_retailprice", 0.5).alias("median_price"), F.percentile("p_size", 0.5).alias("median_size"), F.count(F.lit(1)).alias("n"))
+    own = p.withColumnRenamed("p_brand", "segment")
+    s = group_percentiles(own, ["segment"], "p_retailprice", {"median_price": 0.5}).join(group_percentiles(own, ["segment"], "p_size", {"median_size": 0.5}).drop("n"), "segment")
     top = ranks.top_each(p.groupBy(F.col("p_brand").alias("segment"), "p_type").agg(F.count(F.lit(1)).alias("c")), ["segment"], [F.desc("c"), F.asc("p_type")], 2)
     two = top.groupBy("segment").agg(*[F.max(F.when(F.col("place") == k, F.col("p_type"))).alias(f"top_{k}") for k in (1, 2)])
     total = s.agg(F.sum("n").alias("all_"))
@@ -52,7 +54,7 @@ def segment_positioning(spark, d):
 
     rows = fallback_reference(table(spark, d, "part").select("p_brand", "p_type", F.col("p_retailprice").alias("v")), "v", [["p_brand", "p_type"], ["p_type"]], 15, "m")
     # the narrow level needs 15 rows, the wide one takes what there is
-    return rows.groupBy(F.col("p_brand").alias("segment")).agg(F.percentile(100 * F.col("v") / F.col("m"), 0.5).alias("median_index"), F.count(F.lit(1)).alias("n"))
+    return group_percentiles(rows.select(F.col("p_brand").alias("segment"), (100 * F.col("v") / F.col("m")).alias("index")), ["segment"], "index", {"median_index": 0.5})
 
 
 @query("SELECT name, n, hits, CAST(hits AS DOUBLE) / n AS precision, n >= 20 AND CAST(hits AS DOUBLE) / n >= 0.8 AS accepted FROM (SELECT event_type AS name, count(*) AS n, count_if(value > 30) AS hits FROM events GROUP BY 1)")
@@ -79,7 +81,7 @@ def temperature_scenarios(spark, d):
 
 @query(f"WITH p AS (SELECT city, month, median(o_totalprice) AS m FROM ({PLACED}) GROUP BY ALL), s AS (SELECT *, CASE WHEN (year(month) * 12 + month(month)) - lag(year(month) * 12 + month(month)) OVER w = 1 AND lag(m) OVER w <> 0 THEN (m / lag(m) OVER w - 1) * 100 END AS c FROM p WINDOW w AS (PARTITION BY city ORDER BY month)) SELECT city, median(c) AS median_change, count(c) AS changes, CAST(count(c) AS DOUBLE) / nullif(count(*) - 1, 0) AS coverage FROM s GROUP BY city")
 def median_monthly_change(spark, d):
-    p = placed_orders(spark, d).groupBy("city", "month").agg(F.percentile("o_totalprice", 0.5).alias("m"))
+    p = group_percentiles(placed_orders(spark, d), ["city", "month"], "o_totalprice", {"m": 0.5}).drop("n")
     s = rollup.change_from_previous(p, ["city"], "month", "m", "c", F.year("month") * 12 + F.month("month"))
     return s.groupBy("city").agg(F.percentile("c", 0.5).alias("median_change"), F.count("c").alias("changes"), C.share(F.count("c"), F.count(F.lit(1)) - 1).alias("coverage"))
 
@@ -87,9 +89,10 @@ def median_monthly_change(spark, d):
 @query("SELECT n_a, n_b, (a / b - 1) * 100 AS gap_pct FROM (SELECT count_if(user_type = 'مشاور املاک') AS n_a, count_if(user_type = 'شخصی') AS n_b, median(CASE WHEN user_type = 'مشاور املاک' THEN v END) AS a, median(CASE WHEN user_type = 'شخصی' THEN v END) AS b FROM (SELECT user_type, TRY_CAST(building_size AS DOUBLE) AS v FROM listings) WHERE v > 0)")
 def raw_median_gap(spark, d):
     v = F.col("building_size").try_cast("double")
-    at = lambda g: F.when(F.col("user_type") == g, v)
     a, b = "مشاور املاک", "شخصی"
-    return table(spark, d, "listings").where(v > 0).agg(F.count(at(a)).alias("n_a"), F.count(at(b)).alias("n_b"), ((F.percentile(at(a), 0.5) / F.percentile(at(b), 0.5) - 1) * 100).alias("gap_pct"))
+    by = group_percentiles(table(spark, d, "listings").where((v > 0) & F.col("user_type").isin(a, b)).select("user_type", v.alias("v")), ["user_type"], "v", {"m": 0.5})  # two rows
+    of = lambda g, c: F.max(F.when(F.col("user_type") == g, F.col(c)))
+    return by.agg(F.coalesce(of(a, "n"), F.lit(0)).alias("n_a"), F.coalesce(of(b, "n"), F.lit(0)).alias("n_b"), ((of(a, "m") / of(b, "m") - 1) * 100).alias("gap_pct"))
 
 
 @query(f"WITH t AS ({_TYPED}) SELECT strftime(analysis_month, '%Y-%m') AS month, count(*) AS rows, count_if(rooms IS NULL) AS missing, CAST(count_if(rooms IS NULL) AS DOUBLE) / count(*) AS rate, CASE WHEN CAST(count_if(rooms IS NULL) AS DOUBLE) / count(*) > 0.5 THEN 'exclude' WHEN CAST(count_if(rooms IS NULL) AS DOUBLE) / count(*) > 0.05 THEN 'impute_with_mark' ELSE 'keep' END AS action FROM t GROUP BY 1")

@@ -180,3 +180,25 @@ def test_profiles_and_dimensions(spark):
     places = spark.createDataFrame([("c-one", None)] * 101 + [("c-one", "n-a"), (None, "lost")], "c string, n string")
     assert [r.location_key for r in marts.location_dimension(places, "c", "n").orderBy("location_key").collect()] == ["CITY:c-one", "NATIONAL", "NEIGHBORHOOD:c-one:n-a"]
     assert math.isclose(len(marts.standardised(df, {"unit": "toman"}, ["unit", "version"]).columns), 4)
+
+
+def test_percentiles_of_groups_equal_the_builtin_ones(spark):
+    """Ties, negative and zero values, infinities, NULL and NaN values, NULL keys, one-row groups, a group with most rows, no rows."""
+    import random
+
+    from arzyab.operators.percentiles import group_percentiles
+
+    r = random.Random(4)
+    rows = [("hot", r.choice([r.lognormvariate(20, 2), 5.0, 0.0, -r.random() * 100, 1e-320, 1e300])) for _ in range(3000)] + [(None, 1.0), (None, 3.0), ("one", 7.5), ("nothing", None), ("nan", float("nan"))]
+    df = spark.createDataFrame(rows + [("far", float("inf")), ("far", float("-inf")), ("far", 2.0)], "k string, v double").withColumn("bucket_", F.lit(1))
+    wanted = {"p1": 0.01, "p25": 0.25, "median": 0.5, "p99": 0.99, "top": 1.0}
+    given = df.where("v IS NOT NULL AND NOT isnan(v)")
+    want = {x.k: x for x in given.where("k IS NULL OR k <> 'far'").groupBy("k").agg(F.count("v").alias("n"), *[F.percentile("v", q).alias(c) for c, q in wanted.items()]).collect()}
+    got = {x.k: x for x in group_percentiles(df, ["k"], "v", wanted).collect()}
+    assert set(got) == set(want) | {"far"} and got["far"].median == 2.0
+    for k, x in want.items():
+        assert x.n == got[k].n and all(abs(x[c] - got[k][c]) <= 1e-9 * max(1, abs(x[c])) for c in wanted), k
+    whole = group_percentiles(given.where("k <> 'far'"), [], "v", {"m": 0.5}).first()
+    assert whole.m == given.where("k <> 'far'").agg(F.percentile("v", 0.5)).first()[0]
+    assert group_percentiles(df.limit(0), ["k"], "v", wanted).count() == 0
+    assert {x.k for x in group_percentiles(df, ["k"], "v", wanted, least_rows=3).collect()} == {"hot", "far"}
