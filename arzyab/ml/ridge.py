@@ -115,18 +115,19 @@ def contrast(df: DataFrame, model: Ridge, feature: str, low, high) -> DataFrame:
     return a.agg(F.lit(feature).alias("feature"), F.avg((F.exp(F.col("high_") - F.col("low_")) - 1) * 100).alias("effect_pct"), F.count(F.lit(1)).alias("n"))
 
 
-def permutation_importance(df: DataFrame, model: Ridge, target: str, blocks: dict[str, list[str]], repeats: int = 3, seed: int = 42) -> DataFrame:
+def permutation_importance(df: DataFrame, model: Ridge, target: str, blocks: dict[str, list[str]], id_columns: list[str], repeats: int = 3, seed: int = 42) -> DataFrame:
     """feature, mean increase of the error when a block of columns is shuffled jointly.
 
     Shuffling is a join of the rows, numbered by one hash order, with themselves numbered by another; numbering is a range-partitioned
-    prefix count, so nothing passes through one task.
+    prefix count, so nothing passes through one task. The orders come from hashes of ``id_columns``, which tell the rows apart, so results
+    are the same between runs.
     """
-    base = df.where(F.col(target).isNotNull()).select(*model.design.columns, target, F.monotonically_increasing_id().alias("id_"))
+    base = df.where(F.col(target).isNotNull()).select(*model.design.columns, target, F.xxhash64(*id_columns).alias("id_"))
     base = written(base)
 
     def numbered(salt: int) -> DataFrame:
         keyed = base.select("id_", F.xxhash64("id_", F.lit(seed), F.lit(salt)).alias("h_"), F.lit(1).alias("one_"))
-        return running_total(keyed, "h_", "one_", "n_").select("id_", "n_")
+        return running_total(keyed, [F.col("h_"), F.col("id_")], "one_", "n_").select("id_", "n_")
 
     y = F.col(target)
     error = lambda x: x.agg(F.sqrt(F.avg((y - F.col("prediction")) * (y - F.col("prediction")))).alias("e")).first().e or 0.0

@@ -20,7 +20,9 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     The table is unpivoted and counted per (column, value) first, so many distinct counts need no Expand per column and combine
     before the shuffle.
     """
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _short(normalized_text(F.col(c))).alias("v")) for c in columns])).alias("x")).select("x.*")
+    # The raw values are unpivoted, and then one expression normalises them: one per column would be too much code to compile.
+    raw = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("raw")) for c in columns])).alias("x")).select("x.column_name", "x.raw")
+    pairs = raw.select("column_name", normalized_text(F.col("raw")).alias("v")).select("column_name", _short(F.col("v")).alias("v"))
     counted = pairs.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("column_name").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.count("v").alias("distinct_values"))
 

@@ -6,7 +6,9 @@ Only the tails of t and chi-square need Python, on one summary row each.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,19 +150,36 @@ def benjamini_hochberg(df: DataFrame, p: str, family: list[str] | None = None) -
     return raw.withColumn("q_value", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("raw_").over(down)))).drop("raw_")
 
 
-def bootstrap_mean(df: DataFrame, group: str, value: str, runs: int = 250, seed: int = 42, least_rows: int = 5) -> DataFrame:
-    """group, n, mean and 95 % bounds of Poisson-bootstrap means. Weights come from a hash of row values and run, so results are
-    repeatable; partial sums combine before the shuffle (groups x runs rows)."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("group"), F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("i"))
-    u = F.shiftrightunsigned(F.xxhash64("i", "v", "run", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    cdf, term, weight = 0.0, math.exp(-1), F.lit(0)
-    for k in range(8):
-        cdf += term
-        weight = weight + F.when(u >= cdf, 1).otherwise(0)
-        term /= k + 1
-    runs_of = rows.select("group", "v", "i", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).withColumn("w", weight).groupBy("group", "run").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+def bootstrap_mean(df: DataFrame, group: str, value: str, id_column: str, runs: int = 250, seed: int = 42, least_rows: int = 5) -> DataFrame:
+    """group, n, mean and 95 % bounds of Poisson-bootstrap means.
+
+    A row's weight in each run comes from a hash of its id, its value and the run, so results are the same between runs and however the
+    rows are partitioned. The weights of a batch are drawn at once, and a batch hands on sums by group and run only. NULL groups are a
+    group; NULL values are left out.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).cast("string").alias("group"), F.col(value).cast("double").alias("v"), F.xxhash64(id_column, value, F.lit(seed)).alias("h"))
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    salts = np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            codes, names = pd.factorize(pdf["group"], use_na_sentinel=False)
+            sums = np.zeros((2, len(names), runs))
+            for at in range(0, len(pdf), 2048):
+                part = slice(at, at + 2048)
+                x = pdf["h"].to_numpy(np.int64)[part].view(np.uint64)[:, None] ^ salts
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                weight = np.searchsorted(steps, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53, side="right").astype(float)
+                for g in np.unique(codes[part]):
+                    on = codes[part] == g
+                    sums[0, g] += pdf["v"].to_numpy(float)[part][on] @ weight[on]
+                    sums[1, g] += weight[on].sum(axis=0)
+            yield pd.DataFrame({"group": np.repeat(np.array([None if pd.isna(n) else n for n in names], dtype=object), runs), "run": np.tile(np.arange(runs), len(names)), "a": sums[0].ravel(), "b": sums[1].ravel()})
+
+    runs_of = rows.mapInPandas(partial, "group string, run int, a double, b double").groupBy("group", "run").agg(F.try_divide(F.sum("a"), F.sum("b")).alias("m"))
     bounds = runs_of.groupBy("group").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).where(F.col("n") >= least_rows).join(bounds, "group")
+    return rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")).where(F.col("n") >= least_rows).join(bounds.withColumnRenamed("group", "of_"), F.col("group").eqNullSafe(F.col("of_"))).drop("of_")
 
 
 def strata_effect(df: DataFrame, strata: list[str], group: str, a: str, b: str, value: str, least_rows: int = 5) -> DataFrame:

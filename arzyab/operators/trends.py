@@ -24,11 +24,12 @@ def log_trend(df: DataFrame, keys: list[str], month: str, value: str, name: str,
     return slopes.select(*keys, F.when(enough, (F.exp("s_") - 1) * 100).alias(f"{name}_pct"), F.when(enough, F.when(flat, F.lit(0.5)).otherwise(agree)).alias(f"{name}_consistency"), f"{name}_months")
 
 
-def temperature(features: DataFrame, universe: list[str], weight_price: float = 0.6, weight_activity: float = 0.4, least_months: int = 4, hot: float = 0.8, cold: float = 0.2) -> DataFrame:
+def temperature(features: DataFrame, universe: list[str], weight_price: float = 0.6, weight_activity: float = 0.4, least_months: int = 4, hot: float = 0.8, cold: float = 0.2, gate: str = "price_only") -> DataFrame:
     """Adds evidence, score, percentile, label and place to rows with price_pct, activity_pct, consistencies and months.
 
     score = 200 * (w_p * rank(price) + w_a * rank(activity) - 0.5) * evidence, ranks as average-rank percentiles within the
-    universe; evidence = 0.65 + 0.2 * coverage + 0.15 * stability.
+    universe; evidence = 0.65 + 0.2 * coverage + 0.15 * stability. gate: what must point the label's way too: ``price_only``,
+    ``price_and_supply`` or ``none``.
     """
     usable = F.least("price_months", "activity_months")
     coverage = F.least(F.lit(1.0), usable / F.lit(float(max(4, least_months))))
@@ -37,7 +38,11 @@ def temperature(features: DataFrame, universe: list[str], weight_price: float =
     rows = rows.withColumns({"rp_": percentile_rank("price_pct", universe), "ra_": percentile_rank("activity_pct", universe)})
     rows = rows.withColumn("score", 200 * (weight_price * F.col("rp_") + weight_activity * F.col("ra_") - 0.5) * F.col("evidence"))
     rows = rows.withColumn("percentile", percentile_rank("score", universe))
-    label = F.when((F.col("percentile") >= hot) & (F.col("price_pct") > 0), "HOT").when((F.col("percentile") <= cold) & (F.col("price_pct") < 0), "COLD").otherwise("NEUTRAL")
+    signs = {"price_only": ["price_pct"], "price_and_supply": ["price_pct", "activity_pct"], "none": []}[gate]
+    up, down = F.lit(True), F.lit(True)
+    for c in signs:
+        up, down = up & (F.col(c) > 0), down & (F.col(c) < 0)
+    label = F.when((F.col("percentile") >= hot) & up, "HOT").when((F.col("percentile") <= cold) & down, "COLD").otherwise("NEUTRAL")
     place = F.row_number().over(Window.partitionBy(*universe).orderBy(F.desc("score"), *[F.asc_nulls_last(c) for c in features.columns if c not in universe]))
     return rows.withColumns({"label": label, "place": place}).drop("rp_", "ra_")
 

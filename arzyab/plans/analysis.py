@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arzyab.functions import columns as C
+from arzyab.functions.session import written
 from arzyab.operators import lookup, profile, ranks, resolution, statistics, trends
 from arzyab.operators.percentiles import group_percentiles
+from arzyab.operators.rollup import union_all
 from arzyab.plans.relational import PLACED, placed_orders
 from arzyab.sources.tables import spread, table
 
@@ -69,12 +71,32 @@ def _temperature(spark, d, wp=0.6, wa=0.4):
     return trends.temperature(f, ["all_"], wp, wa)
 
 
+_GATES = {"price_only": ("price_pct > 0", "price_pct < 0"), "price_and_supply": ("price_pct > 0 AND activity_pct > 0", "price_pct < 0 AND activity_pct < 0"), "none": ("true", "true")}
+_SCENARIOS = [("w60_40", 0.6, "price_only"), ("w70_30", 0.7, "price_only"), ("w60_40_both", 0.6, "price_and_supply"), ("w60_40_open", 0.6, "none"), ("price_alone", 1.0, "price_only")]
+
+
+def _gated_sql(name: str, weight: float, gate: str) -> str:
+    hot, cold = _GATES[gate]
+    return f"SELECT '{name}' AS scenario, CASE WHEN t.percentile >= 0.8 AND {hot} THEN 'HOT' WHEN t.percentile <= 0.2 AND {cold} THEN 'COLD' ELSE 'NEUTRAL' END AS label, count(*) AS places FROM ({_temperature_sql(weight, round(1 - weight, 6))}) t JOIN ({_FEATURES} SELECT city, price_pct, activity_pct FROM f) g USING (city) GROUP BY ALL"
+
+
+@query(" UNION ALL ".join(f"({_gated_sql(*s)})" for s in _SCENARIOS))
+def temperature_gates(spark, d):
+    """Labels of five scenarios: two weights, three direction gates and price alone."""
+    f = written(_rounded(_features(spark, d))).withColumn("all_", F.lit(1))  # read by five scenarios
+    parts = [trends.temperature(f, ["all_"], w, round(1 - w, 6), gate=g).select(F.lit(n).alias("scenario"), "label") for n, w, g in _SCENARIOS]
+    return union_all(parts).groupBy("scenario", "label").agg(F.count(F.lit(1)).alias("places"))
+
+
 @query(_temperature_sql(0.6, 0.4))
 def temperature(spark, d):
     return _temperature(spark, d).select("city", "evidence", F.round("score", 9).alias("score"), "percentile", "label")
 
 
-@query()
+_FIRST = "SELECT city FROM (SELECT city, row_number() OVER (ORDER BY score DESC, city) AS place FROM ({}) t) WHERE place <= 5"
+
+
+@query(f"SELECT count(*) AS overlap FROM ({_FIRST.format(_temperature_sql(0.6, 0.4))}) a JOIN ({_FIRST.format(_temperature_sql(0.7, 0.3))}) b USING (city)")
 def temperature_weight_overlap(spark, d):
     return trends.top_overlap(_temperature(spark, d), _temperature(spark, d, 0.7, 0.3), "city")
 
@@ -115,7 +137,7 @@ def bh(spark, d):
 
 @query()
 def bootstrap(spark, d):
-    return statistics.bootstrap_mean(table(spark, d, "customer"), "c_mktsegment", "c_acctbal")
+    return statistics.bootstrap_mean(table(spark, d, "customer"), "c_mktsegment", "c_acctbal", "c_custkey")
 
 
 @query("WITH l AS (SELECT city_slug, cat3_slug, user_type, ln(TRY_CAST(building_size AS DOUBLE)) AS v FROM listings WHERE TRY_CAST(building_size AS DOUBLE) > 0 AND city_slug IS NOT NULL AND cat3_slug IS NOT NULL), s AS (SELECT city_slug, cat3_slug, count(CASE WHEN user_type = 'مشاور املاک' THEN v END) AS na, count(CASE WHEN user_type = 'شخصی' THEN v END) AS nb, avg(CASE WHEN user_type = 'مشاور املاک' THEN v END) AS ma, avg(CASE WHEN user_type = 'شخصی' THEN v END) AS mb FROM l GROUP BY ALL HAVING na >= 5 AND nb >= 5) SELECT count(*) AS strata, CAST(sum(least(na, nb)) AS DOUBLE) AS weight, exp(sum(least(na, nb) * (ma - mb)) / sum(least(na, nb))) - 1 AS effect FROM s")

@@ -59,7 +59,7 @@ def ridge_effects(spark, d):
 def permutation_importance(spark, d):
     train = _lines(spark, d)
     model = ridge.fit_ridge(train, features.learn_design(train, NUMERIC, BINARY, CATEGORICAL), "y", 1.0)
-    return ridge.permutation_importance(train, model, "y", {"quantity": ["l_quantity"], "type": ["p_brand", "l_returnflag"]})
+    return ridge.permutation_importance(train, model, "y", {"quantity": ["l_quantity"], "type": ["p_brand", "l_returnflag"]}, ["l_orderkey", "l_linenumber"])
 
 
 @query()

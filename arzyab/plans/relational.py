@@ -170,12 +170,12 @@ def dims_month(spark, d):
     return marts.month_dimension(table(spark, d, "orders").select(F.date_trunc("month", "o_orderdate").cast("date").alias("month")), "month")
 
 
-@query("SELECT 'NATIONAL' AS location_key, 'national' AS location_level, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS part, 'National' AS display_name UNION ALL SELECT DISTINCT 'CITY:' || n_name, 'city', n_name, NULL, replace(upper(n_name[1]) || lower(n_name[2:]), '_', ' ') FROM nation WHERE n_name NOT LIKE '% %' UNION ALL SELECT DISTINCT 'NEIGHBORHOOD:' || n_name || ':' || c_mktsegment, 'neighborhood', n_name, c_mktsegment, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE n_name NOT LIKE '% %'")
+@query("SELECT 'NATIONAL' AS location_key, 'national' AS location_level, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS part, 'National' AS display_name UNION ALL SELECT DISTINCT 'CITY:' || n_name, 'city', n_name, NULL, array_to_string(list_transform(string_split(trim(regexp_replace(n_name, '[-_\\s]+', ' ', 'g')), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') FROM nation UNION ALL SELECT DISTINCT 'NEIGHBORHOOD:' || n_name || ':' || c_mktsegment, 'neighborhood', n_name, c_mktsegment, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) FROM nation JOIN customer ON n_nationkey = c_nationkey")
 def dims_location(spark, d):
     from arzyab.operators import marts
 
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).where("n_name NOT LIKE '% %'").select(F.col("n_name").alias("city"), F.col("c_mktsegment").alias("part"))
-    cities = table(spark, d, "nation").where("n_name NOT LIKE '% %'").select(F.col("n_name").alias("city"), F.lit(None).cast("string").alias("part"))
+    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("city"), F.col("c_mktsegment").alias("part"))
+    cities = table(spark, d, "nation").select(F.col("n_name").alias("city"), F.lit(None).cast("string").alias("part"))
     return marts.location_dimension(rollup.union_all([rows, cities]), "city", "part")
 
 

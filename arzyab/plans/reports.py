@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arzyab.functions import columns as C
 from arzyab.operators import marts, profile, quality, ranks, rollup, spatial, statistics, trends
 from arzyab.operators.percentiles import group_percentiles
-from arzyab.plans.analysis import _TYPED, _features, _rounded, _temperature, _temperature_sql, typed_listings
+from arzyab.plans.analysis import _FEATURES, _TYPED, _features, _rounded, _temperature, _temperature_sql, typed_listings
 from arzyab.plans.relational import _LEVELS, PLACED, _levels, placed_orders
 from arzyab.sources.tables import table
 
@@ -126,10 +126,13 @@ def published_checks(spark, d):
     return quality.check_table(spark, checks)
 
 
-@query("SELECT count_if(abs(l_extendedprice * (1 - l_discount) - (l_extendedprice - l_extendedprice * l_discount)) > 1e-6) AS net_price_off, count_if(l_discount NOT BETWEEN 0 AND 1) AS discount_off, count(*) AS rows FROM lineitem")
+@query("WITH l AS (SELECT l_orderkey, sum(l_extendedprice) AS gross FROM lineitem GROUP BY 1) SELECT count(*) AS rows, count_if(gross IS NULL) AS without_lines, count_if(gross IS NOT NULL AND abs(o_totalprice - gross) > 0.5 * o_totalprice) AS total_off, count_if(o_totalprice IS NULL OR o_totalprice <= 0) AS not_positive FROM orders LEFT JOIN l ON o_orderkey = l_orderkey")
 def metric_rederivation(spark, d):
-    e, x = F.col("l_extendedprice"), F.col("l_discount")
-    return profile.counts(table(spark, d, "lineitem"), {"net_price_off": F.abs(e * (1 - x) - (e - e * x)) > 1e-6, "discount_off": ~x.between(0, 1)})
+    """Orders whose stored total is far from the sum of their lines, derived again."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("gross"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    off = F.col("gross").isNotNull() & (F.abs(F.col("o_totalprice") - F.col("gross")) > 0.5 * F.col("o_totalprice"))
+    return profile.counts(o, {"without_lines": F.col("gross").isNull(), "total_off": off, "not_positive": F.col("o_totalprice").isNull() | (F.col("o_totalprice") <= 0)})
 
 
 @query("SELECT month, rows, kept, CAST(rows - kept AS DOUBLE) / rows AS reduction FROM (SELECT CAST(date_trunc('month', published_at) AS DATE) AS month, count(*) AS rows, count_if(k = 1) AS kept FROM (SELECT published_at, row_number() OVER (PARTITION BY text, date_trunc('month', published_at) ORDER BY doc_id) AS k FROM documents) GROUP BY 1)")
@@ -177,7 +180,10 @@ def mann_whitney_p_value(spark, d):
     return statistics.with_p(statistics.mann_whitney(table(spark, d, "part"), "p_brand", "p_size", "Brand#11", "Brand#12"), "normal", "z")
 
 
-@query()
+_TOKENS = "list_filter(string_split(trim(regexp_replace(lower(translate({}, 'áàâäãåéèêëíìîïóòôöõúùûüçñ', 'aaaaaaeeeeiiiiooooouuuucn')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ('city', 'county', 'district', 'province', 'of', 'the', 'shahrestan', 'ostan', 'bakhsh'))"
+
+
+@query(f"SELECT location_level, count(*) AS places, count_if(len(a) > 0 AND len(b) > 0 AND (list_has_all(b, a) OR list_has_all(a, b))) AS agreeing FROM (SELECT location_level, {_TOKENS.format('location_display_name')} AS a, {_TOKENS.format('coalesce(neighborhood_slug, city_slug, $$national$$)')} AS b FROM dim_location) GROUP BY 1")
 def place_names(spark, d):
     """How many places of each level have a shown name that agrees with their slug's tokens."""
     x = table(spark, d, "dim_location")
@@ -185,24 +191,41 @@ def place_names(spark, d):
     return x.groupBy("location_level").agg(F.count(F.lit(1)).alias("places"), F.count_if(spatial.names_agree(F.col("location_display_name"), slug)).alias("agreeing"))
 
 
-@query(f"WITH f AS ({_temperature_sql(0.6, 0.4)}) SELECT city, score, label FROM f WHERE label <> 'NEUTRAL'")
+@query(f"WITH f AS ({_temperature_sql(0.6, 0.4)}) SELECT city, score, label FROM f JOIN ({_FEATURES} SELECT city, price_months FROM f) g USING (city) WHERE label <> 'NEUTRAL' AND price_months >= 5")
 def temperature_surfaced(spark, d):
     """Places that pass the gate of months and direction."""
     return _temperature(spark, d).where("label <> 'NEUTRAL' AND price_months >= 5").select("city", F.round("score", 9).alias("score"), "label")
 
 
-@query()
+@query(f"{_FEATURES} SELECT city, price_months, activity_months, least(price_months, activity_months) AS usable_months FROM f")
 def trend_months(spark, d):
     """How many months each place's trends rest on, as a support table."""
     return _rounded(_features(spark, d)).select("city", "price_months", "activity_months", F.least("price_months", "activity_months").alias("usable_months"))
 
 
-@query()
+_LINKS = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+
+
+def _check_sql(name: str, count: str) -> str:
+    return f"SELECT '{name}' AS name, CAST(n AS VARCHAR) AS actual, '0' AS expected, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, true AS critical, '' AS notes FROM ({count})"
+
+
+_LINK_SQL = " UNION ALL ".join(
+    part
+    for f, k, dim, dk in _LINKS
+    for part in (
+        _check_sql(f"{f}.{k} -> {dim}.{dk}", f"SELECT count(DISTINCT {k}) AS n FROM {f} WHERE {k} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {dim} WHERE {dk} = {k})"),
+        _check_sql(f"{f}.{k}: given", f"SELECT count(*) AS n FROM (SELECT 1 FROM {f} WHERE {k} IS NULL LIMIT 1)"),
+        _check_sql(f"{dim}.{dk}: unique", f"SELECT count(*) AS n FROM (SELECT {dk} FROM {dim} GROUP BY 1 HAVING count(*) > 1 LIMIT 1)"),
+    )
+)
+
+
+@query(_LINK_SQL)
 def relationship_checks(spark, d):
     """Foreign keys, NULL keys and dimension keys of the star schema as check rows."""
     tables = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")}
-    links = [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
-    return quality.check_table(spark, quality.relationship_checks(tables, links))
+    return quality.check_table(spark, quality.relationship_checks(tables, _LINKS))
 
 
 @query()

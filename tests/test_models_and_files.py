@@ -42,7 +42,7 @@ def test_model_is_stored_and_read(sample, tmp_path):
 def test_importance_contrast_crossfit(sample):
     design = features.learn_design(sample, ["a"], ["b"], ["c"], 5)
     model = ridge.fit_ridge(sample, design, "y", 1.0)
-    got = {r.feature: r.rmse_increase for r in ridge.permutation_importance(sample, model, "y", {"a": ["a"], "b": ["b"]}, 1).collect()}
+    got = {r.feature: r.rmse_increase for r in ridge.permutation_importance(sample, model, "y", {"a": ["a"], "b": ["b"]}, ["id"], 1).collect()}
     assert got["a"] > got["b"] > 0
     assert ridge.contrast(sample, model, "a", 0.0, 0.1).first().effect_pct == pytest.approx((np.exp(0.2) - 1) * 100, rel=0.1)
     out = ridge.cross_fitted(sample, ["a"], ["b"], ["c"], "y", "c", "id", 3, least_frequency=5)
