@@ -1,4 +1,4 @@
-"""A learned gate before an expensive sequence model: a linear model over hashed runs of four characters.
+"""A learned gate before the training of an expensive sequence model: a linear model over hashed runs of four characters.
 
 Every run of four characters has a weight, learned by logistic regression over stretches that overlap an item or don't; a stretch of
 ``REACH`` runs fires where their weights add up to more than a bound. Runs that training never met weigh towards an item, so new words

@@ -1,10 +1,10 @@
 """Personal information inside free text (problem 3).
 
-Texts are turned to character ids (alike characters to one id, invisible ones left out, with a map back). A learned linear gate
-(``gate``) over all characters of whole texts picks the regions that a character-level BiLSTM-CRF (``tagger``) reads with their
-context, in overlapping windows; each character's tag comes from the window in which it stands farthest from an edge. Runs of one type
-become spans; identity numbers pass an exact check of their check digit or form. Spans are replaced by typed placeholders, the rest of
-the text stays as it was. Both models are trained together (``pii_train``).
+Texts are turned to character ids (alike characters to one id, invisible ones left out, with a map back). A character-level BiLSTM-CRF
+(``tagger``) reads every character: common texts whole, longer ones in overlapping windows, where each character's tag comes from the
+window in which it stands farthest from an edge. Runs of one type become spans; identity numbers pass an exact check of their check
+digit or form. Spans are replaced by typed placeholders, the rest of the text stays as it was. A learned linear gate (``gate``) only
+picks what the tagger is trained on (``pii_train``).
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ TAGS = 1 + 2 * len(TYPES)
 ALPHABET = " \n0123456789abcdefghijklmnopqrstuvwxyzابپتثجچحخدذرزژسشصضطظعغفقکگلمنوهیء.,:;-_/()[]{}<>@+|*#&%!?؟؛«»\"'"
 OTHER = len(ALPHABET) + 1
 CHARACTERS = OTHER + 1
-WINDOW, STRIDE = 320, 224
-CONTEXT = 40  # characters read on both sides of what fires
+WINDOW, STRIDE = 960, 864
+CONTEXT = 40  # characters on both sides of what fires, in training
 STRETCH = REACH + 3
 LEAD = np.array([ALPHABET.index(c) + 1 for c in ". "], dtype=np.uint8)
 
@@ -84,14 +84,14 @@ def regions_of(fires: np.ndarray, length: int, context: int) -> list[tuple[int,
 
 
 def windows_of(start: int, end: int) -> list[tuple[int, int]]:
-    """Overlapping windows over all characters of a region."""
+    """Overlapping windows over all characters of a stretch."""
     last = max(0, -(-(end - start - WINDOW) // STRIDE))
     return [(start + k * STRIDE, min(end, start + k * STRIDE + WINDOW)) for k in range(last + 1)]
 
 
 @dataclass
 class Model:
-    """What reads personal information: the gate and the tagger."""
+    """The tagger, which reads personal information, and the gate, which picks what it is trained on."""
 
     gate: Gate
     tagger: Tagger
@@ -113,7 +113,7 @@ def default_model() -> Model:
     return Model.from_bytes(resources.files("arzyab.llm").joinpath("pii_model.npz").read_bytes())
 
 
-def tag_windows(model: Tagger, texts: list[np.ndarray], windows: list[tuple[int, int, int]], batch: int = 128) -> dict[int, np.ndarray]:
+def tag_windows(model: Tagger, texts: list[np.ndarray], windows: list[tuple[int, int, int]], batch: int = 256) -> dict[int, np.ndarray]:
     """Text number -> tags of all its characters, reconciled over overlapping windows (text number, start, end)."""
     tags: dict[int, np.ndarray] = {}
     edge: dict[int, np.ndarray] = {}
@@ -128,6 +128,9 @@ def tag_windows(model: Tagger, texts: list[np.ndarray], windows: list[tuple[int,
         best = model.decode(ids)
         for r, i in enumerate(group):
             n, a, b = windows[i]
+            if b - a == len(texts[n]):
+                tags[n] = best[r, : b - a]
+                continue
             if n not in tags:
                 tags[n] = np.zeros(len(texts[n]), dtype=np.int8)
                 edge[n] = np.full(len(texts[n]), -1, dtype=np.int32)
@@ -189,8 +192,7 @@ def find_items(texts: list[str | None], model: Model) -> list[list[tuple[int, in
         # A text begins as if after a sentence, which training saw far more often than a bare beginning.
         ids.append(np.concatenate([LEAD, i]) if len(i) else i)
         places.append(np.concatenate([[0, 0], at]) if len(i) else at)
-    for n, fires in enumerate(model.gate.fires_of(ids)):
-        windows += [(n, a, b) for start, end in regions_of(fires, len(ids[n]), CONTEXT) for a, b in windows_of(start, end)]
+        windows += [(n, a, b) for a, b in windows_of(0, len(ids[n])) if b]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for n, tags in tag_windows(model.tagger, ids, windows).items():
         if tags.any():

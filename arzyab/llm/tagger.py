@@ -1,7 +1,7 @@
-"""A character-level bidirectional LSTM with CRF transitions: training in numpy, inference by a small graph for onnxruntime.
+"""A character-level bidirectional LSTM with CRF transitions, in numpy.
 
 Characters are ids from 1; 0 pads. All functions work on batches (B windows of T characters). Ids are embedded, both directions share
-the embedding. The graph is written out by hand from the trained weights; where onnxruntime is absent numpy computes the same.
+the embedding. Inference computes the states of training with fewer and wider operations.
 """
 
 from __future__ import annotations
@@ -11,11 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 
-try:
-    import onnxruntime
-except ImportError:
-    onnxruntime = None
-
 f32 = np.float32
 
 
@@ -58,98 +53,87 @@ class Tagger:
         return Tagger.of([z[f"tagger_{i}"].astype(f32) for i in range(10)])
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_session"}  # a session stays in its process
+        return {k: v for k, v in self.__dict__.items() if k != "_steps"}  # made anew in each process
+
+    def _folded(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per direction: the weights of a step on (twice the state, embedding, one), 4H x (H + E + 1), and those to the tags, K x H.
+
+        As sigmoid(v) = (tanh(v / 2) + 1) / 2, its halves are put into the weights, and one tanh serves all gates.
+        """
+        if "_steps" not in self.__dict__:
+            n, steps = self.left[1].shape[0], []
+            for k, (inputs, recurrent, bias) in enumerate((self.left, self.right)):
+                w = np.concatenate([recurrent * f32(0.5), inputs, bias[None]]).T.copy()
+                w[: 3 * n] *= f32(0.5)
+                steps.append((w, np.ascontiguousarray(self.out[k * n : (k + 1) * n].T * f32(0.5))))
+            self._steps = steps
+        return self._steps
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """T x B x K."""
-        if onnxruntime is None:
-            return self.numpy_emissions(ids)
-        if "_session" not in self.__dict__:
-            options = onnxruntime.SessionOptions()
-            options.intra_op_num_threads = options.inter_op_num_threads = 1
-            options.log_severity_level = 3
-            self._session = onnxruntime.InferenceSession(graph(self), options, providers=["CPUExecutionProvider"])
-        lengths = (ids > 0).sum(axis=1).astype(np.int32)
-        return self._session.run(None, {"ids": np.ascontiguousarray(ids.T).astype(np.int32), "lengths": lengths})[0]
+        """T x B x K; stored as T x K x B."""
+        b, t = ids.shape
+        n, width = self.left[1].shape[0], self.table.shape[1]
+        x = np.zeros((t + 2, n + width + 1, b), f32)  # place 1 + i: what the step of character i reads
+        x[1 : t + 1, n : n + width] = self.table.T[:, ids.T].transpose(1, 0, 2)
+        x[:, -1] = 1.0
+        mask = (ids.T > 0).astype(f32)
+        partly = (mask == 0).any(axis=1)
+        z, u = np.empty((4 * n, b), f32), np.empty((n, b), f32)
+        gates, cell = z[: 3 * n], z[3 * n :]
+        total = None
+        for (w, out), order, on in zip(self._folded(), (range(t), range(t - 1, -1, -1)), (1, -1)):
+            c = np.zeros((n, b), f32)
+            x[1 if on > 0 else t, :n] = 0.0
+            for i in order:
+                np.matmul(w, x[1 + i], out=z)
+                np.tanh(z, out=z)
+                gates += 1.0
+                c *= gates[n : 2 * n]
+                np.multiply(gates[:n], cell, out=u)
+                c += u
+                c *= 0.5
+                if partly[i]:
+                    c *= mask[i]  # and so the state
+                np.tanh(c, out=u)
+                np.multiply(gates[2 * n :], u, out=x[1 + i + on, :n])
+            e = out @ x[1 + on : t + 1 + on, :n]
+            total = e if total is None else total + e
+        return (total + self.out_bias[:, None]).transpose(0, 2, 1)
 
     def numpy_emissions(self, ids: np.ndarray) -> np.ndarray:
+        """The same by the states of training."""
         mask = (ids > 0).astype(f32)
         h = np.concatenate([_run(ids, mask, self.table, *self.left, False)[0], _run(ids, mask, self.table, *self.right, True)[0]], axis=2)
         return (h @ self.out + self.out_bias).transpose(1, 0, 2)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The best tag of each character (Viterbi); 0 on padding, which stands at the end of a row."""
-        e = self.emissions(ids).transpose(0, 2, 1)
+        e = np.ascontiguousarray(self.emissions(ids).transpose(0, 2, 1))
         t, k, b = e.shape
-        real = ids > 0
-        scores = np.empty((t, k, b), f32)
-        scores[0] = e[0]
+        through = np.empty((k, k, b), f32)
+        trans = np.ascontiguousarray(np.broadcast_to(self.trans[:, :, None], through.shape))
+        scores = e  # summed up in place; what stands beyond the end of a row is never read
         for i in range(1, t):
-            through = scores[i - 1][:, None, :] + self.trans[:, :, None]
-            np.add(through.max(axis=0), e[i], out=scores[i])
-            if not real[:, i].all():
-                scores[i] = np.where(real[:, i], scores[i], scores[i - 1])
+            np.add(scores[i - 1][:, None, :], trans, out=through)
+            scores[i] += through.max(axis=0)
         out = np.zeros((b, t), dtype=np.int8)
-        at = scores[-1].argmax(axis=0)
-        for i in range(t - 1, -1, -1):
-            out[:, i] = np.where(real[:, i], at, 0)
-            if i:
-                at = np.where(real[:, i], (scores[i - 1] + self.trans[:, at]).argmax(axis=0), at)
+        # Back from the last character of each row. Where the best way to tag 0 comes from tag 0, stretches of it are jumped over.
+        ends = scores[:-1]
+        turns = (ends[:, 1:] + self.trans[1:, 0][:, None]).max(axis=1) > ends[:, 0] + self.trans[0, 0]
+        last = np.where(turns, np.arange(1, t)[:, None], 0)
+        last = np.concatenate([np.zeros((1, b), dtype=np.int64), np.maximum.accumulate(last)])
+        row = np.flatnonzero(ids[:, 0])
+        i = (ids[row] > 0).sum(axis=1) - 1
+        at = scores[i, :, row].argmax(axis=1)
+        while len(row):
+            i = np.where(at == 0, last[i, row], i)
+            out[row, i] = at
+            row, i, at = row[i > 0], i[i > 0], at[i > 0]
+            at = (scores[i - 1, :, row] + self.trans[:, at].T).argmax(axis=1)
+            i = i - 1
         return out
 
 
-# The graph's file format is protocol buffers: fields of (number, wire type) and a variable-length integer or a length-prefixed string.
-
-
-def _varint(n: int) -> bytes:
-    n &= (1 << 64) - 1
-    out = bytearray()
-    while True:
-        out.append(n & 127 | (128 if n > 127 else 0))
-        n >>= 7
-        if not n:
-            return bytes(out)
-
-
-def _number(field: int, n: int) -> bytes:
-    return _varint(field << 3) + _varint(n)
-
-
-def _block(field: int, content: bytes | str) -> bytes:
-    raw = content.encode() if isinstance(content, str) else content
-    return _varint(field << 3 | 2) + _varint(len(raw)) + raw
-
-
-def graph(m: Tagger) -> bytes:
-    """The network up to the emissions as an ONNX model: ids (T x B), lengths (B) -> emissions (T x B x K)."""
-    n, k = m.left[1].shape[0], m.out.shape[1]
-    order = np.concatenate([np.arange(a * n, (a + 1) * n) for a in (0, 2, 1, 3)])  # ONNX has the gates as input, output, forget, cell
-    both = lambda i: np.stack([side[i].T[order] for side in (m.left, m.right)])
-    weights = {
-        "table": m.table, "W": both(0), "R": both(1), "B": np.stack([np.concatenate([side[2][order], np.zeros(4 * n, f32)]) for side in (m.left, m.right)]),
-        "flat": np.array([0, 0, 2 * n], dtype=np.int64), "out": m.out, "bias": m.out_bias,
-    }
-
-    def node(op: str, inputs: str, output: str, *attributes: bytes) -> bytes:
-        return _block(1, b"".join(_block(1, i) for i in inputs.split()) + _block(2, output) + _block(4, op) + b"".join(_block(5, a) for a in attributes))
-
-    def value(field: int, name: str, kind: int, shape: list) -> bytes:
-        dims = b"".join(_block(1, _block(2, d) if isinstance(d, str) else _number(1, d)) for d in shape)
-        return _block(field, _block(1, name) + _block(2, _block(1, _number(1, kind) + _block(2, dims))))
-
-    nodes = (
-        node("Gather", "table ids", "x"),
-        node("LSTM", "x W R B lengths", "y", _block(1, "hidden_size") + _number(3, n) + _number(20, 2), _block(1, "direction") + _block(4, "bidirectional") + _number(20, 3)),
-        node("Transpose", "y", "z", _block(1, "perm") + b"".join(_number(8, d) for d in (0, 2, 1, 3)) + _number(20, 7)),
-        node("Reshape", "z flat", "h"),
-        node("MatMul", "h out", "s"),
-        node("Add", "s bias", "emissions"),
-    )
-    stored = b"".join(_block(5, b"".join(_number(1, d) for d in a.shape) + _number(2, 1 if a.dtype.kind == "f" else 7) + _block(8, name) + _block(9, np.ascontiguousarray(a).tobytes())) for name, a in weights.items())
-    body = b"".join(nodes) + _block(2, "tagger") + stored + value(11, "ids", 6, ["T", "B"]) + value(11, "lengths", 6, ["B"]) + value(12, "emissions", 1, ["T", "B", k])
-    return _number(1, 8) + _block(8, _block(1, "") + _number(2, 14)) + _block(7, body)
-
-
 def _run(ids: np.ndarray, mask: np.ndarray, table: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, backward: bool, keep: bool = False):
     """Hidden states B x T x H of one direction; with ``keep`` also what training needs."""
     b, t = ids.shape

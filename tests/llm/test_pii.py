@@ -1,8 +1,11 @@
+import itertools
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 from arzyab.llm import pii, pii_train
+from arzyab.llm.gate import BUCKET_BITS, Gate
 from arzyab.llm.pii_compose import Composer
 from arzyab.llm.tagger import Tagger, fit, loss_and_gradients
 
@@ -89,6 +92,48 @@ def test_items_and_placeholders(spark):
     assert pii.pii_types(df.limit(0)).count() == 0
 
 
+def test_the_network_reads_every_character():
+    """The gate has no say in what is found, and no text or stretch is left out."""
+
+    class Recorder:
+        def __init__(self):
+            self.read = []
+
+        def decode(self, ids):
+            self.read += [row[row > 0] for row in ids]
+            return np.zeros(ids.shape, dtype=np.int8)
+
+    closed = Gate(np.zeros(1 << BUCKET_BITS, dtype=np.int8), 10**9)  # lets nothing through
+    texts = ["", "a", "نور", "نورگیر عالی " * 20, "".join(np.random.default_rng(4).choice(list(pii.ALPHABET), 5000)), None]
+    recorder = Recorder()
+    pii.find_items(texts, pii.Model(closed, recorder))
+    for t in filter(None, texts):
+        whole = np.concatenate([pii.LEAD, pii.encode(t)[0]]).tobytes()
+        covered = np.zeros(len(whole), dtype=bool)
+        for piece in recorder.read:
+            at = whole.find(piece.tobytes())
+            if at >= 0:
+                covered[at : at + len(piece)] = True
+        assert covered.all()
+    model = pii.default_model()
+    text = "سازنده حاج خانم محبی بازسازی کامل - تماس 09121234567"
+    assert pii.find_items([text], pii.Model(closed, model.tagger)) == pii.find_items([text], model) != [[]]
+
+
+def test_decoding_equals_all_paths():
+    rng = np.random.default_rng(5)
+    for seed in range(20):
+        m = Tagger.fresh(9, 3, 3, seed=seed)
+        m.trans[:] = rng.normal(0, 2, m.trans.shape)
+        m.out *= 5
+        ids = rng.integers(1, 9, (4, 6))
+        ids[1, 4:] = ids[2, 1:] = ids[3, :] = 0
+        e, got = m.numpy_emissions(ids), m.decode(ids)
+        for r, n in enumerate((6, 4, 1, 0)):
+            score = lambda p: sum(float(e[i, r, k]) for i, k in enumerate(p)) + sum(float(m.trans[a, b]) for a, b in zip(p, p[1:]))  # noqa: E731, B023
+            assert tuple(got[r, :n]) == max(itertools.product(range(3), repeat=n), key=score) and not got[r, n:].any()
+
+
 def test_every_region_is_tagged():
     """What the gate lets through is tagged whole, at any length."""
     for start, end in ((0, 5), (3, 900), (10, 10 + pii.WINDOW)):
