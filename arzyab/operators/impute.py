@@ -1,9 +1,10 @@
 """Filling missing values by expectation-maximisation on a mixture of Gaussian and categorical fields (problem 4).
 
 Model: a hidden class z with weight; given z, numeric fields are independent Gaussians and categorical fields independent
-multinomials (smoothed). Rows with gaps take part through the fields they have. The E step runs on the executors and hands over
-sufficient statistics only (classes x levels numbers per task, summed by a grouped aggregate); the M step works on these sums.
-Numeric gaps get the conditional expectation, categorical gaps the conditional mode.
+multinomials (smoothed). A place implies its city, so its multinomial is one within each city. Rows with gaps take part through the
+fields they have. The E step runs on the executors and hands over sufficient statistics only (classes x levels numbers per task, summed
+by a grouped aggregate); the M step works on these sums. Rounds go on until the log-likelihood stands still. Numeric gaps get the
+conditional expectation, categorical gaps the conditional mode.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arzyab.functions.session import written
 from arzyab.functions.text import fold, given
-from arzyab.operators.missing import FIELDS, applies, usable
+from arzyab.operators.missing import FIELDS, applies, listed, usable
 
 
 @dataclass
@@ -35,29 +36,36 @@ class Mixture:
 
     def posterior(self, x: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
         """Class probabilities of each row, from the fields that are there (NaN and code -1: not there), and the log-likelihood."""
-        out = np.tile(np.log(self.weight), (len(next(iter(x.values()))), 1))
+        out = np.tile(np.log(self.weight)[:, None], len(next(iter(x.values()))))  # classes x rows
         for j, name in enumerate(self.numeric):
-            v = x[name][:, None]
-            term = -0.5 * (np.log(2 * np.pi * self.var[:, j]) + (v - self.mean[:, j]) ** 2 / self.var[:, j])
-            out += np.where(np.isnan(v), 0.0, term)
+            there = ~np.isnan(x[name])
+            term = np.where(there, x[name], 0.0) - self.mean[:, j, None]
+            term *= term
+            term *= -0.5 / self.var[:, j, None]
+            term -= 0.5 * np.log(2 * np.pi * self.var[:, j, None])
+            term *= there
+            out += term
         for name, table in self.logp.items():
-            code = x[name]
-            out += np.where(code[:, None] < 0, 0.0, table[:, np.maximum(code, 0)].T)
-        top = out.max(axis=1, keepdims=True)
-        p = np.exp(out - top)
-        total = p.sum(axis=1, keepdims=True)
-        return p / total, float((np.log(total) + top).sum())
+            out += np.concatenate([table, np.zeros((len(table), 1))], axis=1)[:, x[name]]  # -1: the last column
+        top = out.max(axis=0)
+        out -= top
+        p = np.exp(out, out=out)
+        total = p.sum(axis=0)
+        p /= total
+        return p.T, float((np.log(total) + top).sum())
 
 
 def _columns(pdf: pd.DataFrame, numeric: list[str], categorical: list[str]) -> dict[str, np.ndarray]:
     return {n: pdf[n].to_numpy(dtype=float, na_value=np.nan) for n in numeric} | {n: pdf[n].to_numpy(dtype=np.int64) for n in categorical}
 
 
-def fit_mixture(coded: DataFrame, numeric: list[str], levels: dict[str, dict[str, int]], classes: int = 8, rounds: int = 10, tolerance: float = 1e-4, smoothing: float = 0.5) -> Mixture:
+def fit_mixture(coded: DataFrame, numeric: list[str], levels: dict[str, dict[str, int]], classes: int = 8, rounds: int | None = None, tolerance: float = 1e-4, smoothing: float = 0.5, within: dict[str, np.ndarray] | None = None) -> Mixture:
     """EM over all rows of ``coded`` (id ``row``, numeric columns with NULL, categorical codes with -1 for NULL).
 
-    classes, rounds, tolerance and smoothing are the model's only limits; each round is one pass with a narrow result. The
-    numbers sent to the driver depend on the classes and levels alone. An empty table gives a flat model.
+    Rounds end where the log-likelihood changes by at most the share ``tolerance``, or after ``rounds`` where that is given. Each
+    round is one pass with a narrow result. The numbers sent to the driver depend on the classes and levels alone. An empty table
+    gives a flat model. within: of a field's levels, the number of the level of another field that each implies; its probabilities
+    then sum to one within each of these.
     """
     names = list(levels)
     sizes = [len(levels[n]) or 1 for n in names]
@@ -94,14 +102,13 @@ def fit_mixture(coded: DataFrame, numeric: list[str], levels: dict[str, dict[str
                 total[:, 0] += r.sum(axis=0)
                 for j, n in enumerate(numeric):
                     there = ~np.isnan(x[n])
-                    v, w = x[n][there], r[there]
-                    total[:, 1 + 3 * j : 4 + 3 * j] += np.stack([w.sum(axis=0), v @ w, (v * v) @ w], axis=1)
+                    v = np.where(there, x[n], 0.0)
+                    total[:, 1 + 3 * j : 4 + 3 * j] += r.T @ np.stack([there, v, v * v], axis=1)
                 for j, n in enumerate(names):
                     at = int(offsets[1 + len(numeric) + j])
-                    code = x[n]
-                    there = code >= 0
+                    code = x[n] + 1  # 0: not there
                     for k in range(classes):
-                        total[k, at : at + sizes[j]] += np.bincount(code[there], weights=r[there, k], minlength=sizes[j])
+                        total[k, at : at + sizes[j]] += np.bincount(code, weights=r[:, k], minlength=sizes[j] + 1)[1:]
             flat = np.append(total.ravel(), loglik)
             at = np.flatnonzero(flat)
             yield pd.DataFrame({"i": at.astype(np.int64), "v": flat[at]})
@@ -124,14 +131,19 @@ def fit_mixture(coded: DataFrame, numeric: list[str], levels: dict[str, dict[str
         for j, n in enumerate(names):
             at = int(offsets[1 + len(numeric) + j])
             c = total[:, at : at + sizes[j]]
-            prior = (c.sum(axis=0) + 1) / (c.sum() + sizes[j])
-            logp[n] = np.log((c + smoothing * sizes[j] * prior) / (c.sum(axis=1, keepdims=True) + smoothing * sizes[j]))
+            group = (within or {}).get(n, np.zeros(sizes[j], dtype=np.int64))
+            size = smoothing * np.bincount(group)[group]
+            prior = (c.sum(axis=0) + 1) / np.bincount(group, c.sum(axis=0) + 1)[group]
+            held = np.stack([np.bincount(group, row)[group] for row in c])
+            logp[n] = np.log((c + size * prior) / (held + size))
         return Mixture(numeric, levels, weight, mean, var, logp, history)
 
     history: list[float] = []
     model = maximised(sums(None)[0], history)
-    for _ in range(rounds):
+    while rounds is None or len(history) < rounds:
         total, loglik = sums(model)
+        if not np.isfinite(loglik):
+            raise ValueError("the log-likelihood is not finite: numeric fields must be finite or NULL")
         history.append(loglik)
         model = maximised(total, history)
         if len(history) > 2 and abs(history[-1] - history[-2]) <= tolerance * abs(history[-2]):
@@ -142,9 +154,14 @@ def fit_mixture(coded: DataFrame, numeric: list[str], levels: dict[str, dict[str
 NUMERIC, CATEGORICAL = ["year", "area"], ["rooms", "level", "kind", "city", "place"]
 
 
+def _finite(name: str) -> Column:
+    v = F.col(name).try_cast("double")
+    return F.when(F.abs(v) < float("inf"), v)
+
+
 def _prepared(listings: DataFrame) -> DataFrame:
     year = usable("construction_year")
-    size = F.expr("try_cast(building_size AS DOUBLE)")
+    size = _finite("building_size")
     return listings.select(
         F.col("source_row_id").alias("row"),
         F.regexp_extract(year, r"(\d{4})", 1).try_cast("double").alias("year"),
@@ -154,8 +171,8 @@ def _prepared(listings: DataFrame) -> DataFrame:
         fold(F.col("cat3_slug")).alias("kind"),
         given(F.col("city_slug")).alias("city"),
         F.concat(given(F.col("city_slug")), F.lit("|"), usable("neighborhood_slug")).alias("place"),
-        F.expr("try_cast(location_latitude AS DOUBLE)").alias("lat"),
-        F.expr("try_cast(location_longitude AS DOUBLE)").alias("lon"),
+        _finite("location_latitude").alias("lat"),
+        _finite("location_longitude").alias("lon"),
         *[(applies(f) & usable(f).isNull()).alias(f"{f}_filled") for f in FIELDS],
         *[F.coalesce(usable(f), F.lit(None)).alias(f) for f in FIELDS],
     )
@@ -181,7 +198,7 @@ def _place_positions(rows: DataFrame, places: dict[str, int]) -> np.ndarray:
     return out
 
 
-def fill_missing(listings: DataFrame, classes: int = 25, rounds: int = 10) -> DataFrame:
+def fill_missing(listings: DataFrame, classes: int = 25, rounds: int | None = None) -> DataFrame:
     """Each listing with its four fields filled and a mark per field saying whether it was filled.
 
     Columns: source_row_id, then for each field its value (string) and ``<field>_filled`` (boolean). A usable value is kept in
@@ -203,7 +220,8 @@ def fill_missing(listings: DataFrame, classes: int = 25, rounds: int = 10) -> Da
             yield codes(pdf)[["row", *NUMERIC, *CATEGORICAL]]
 
     schema = "row long, year double, area double, " + ", ".join(f"{n} int" for n in CATEGORICAL)
-    model = fit_mixture(written(rows.select("row", *NUMERIC, *CATEGORICAL).mapInPandas(coded, schema)), NUMERIC, levels, classes, rounds)
+    city_of = np.array([levels["city"].get(p.split("|", 1)[0], len(levels["city"])) for p in levels["place"]] or [0], dtype=np.int64)
+    model = fit_mixture(written(rows.select("row", *NUMERIC, *CATEGORICAL).mapInPandas(coded, schema)), NUMERIC, levels, classes, rounds, within={"place": city_of})
     cities = {c: np.array([i for p, i in levels["place"].items() if p.startswith(f"{c}|")], dtype=int) for c in levels["city"]}
     names = {n: np.array(list(levels[n]), dtype=object) for n in ("rooms", "level", "place")}
     positions = _place_positions(rows, levels["place"])
@@ -241,3 +259,11 @@ def fill_missing(listings: DataFrame, classes: int = 25, rounds: int = 10) -> Da
 
     schema = "source_row_id long, " + ", ".join(f"{f} string, {f}_filled boolean" for f in FIELDS)
     return rows.mapInPandas(filled, schema)
+
+
+def filled_fields(listings: DataFrame) -> DataFrame:
+    """One row (source_row_id, field_name) for each field that ``fill_missing`` marks as filled, also where no value could be found.
+
+    Rows with equal ids repeat. An empty table gives no rows.
+    """
+    return listed(fill_missing(listings), {f: F.col(f"{f}_filled") for f in FIELDS})

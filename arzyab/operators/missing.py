@@ -45,8 +45,13 @@ def missing_fields(listings: DataFrame, fields: tuple[str, ...] = FIELDS) -> Dat
 
     NULL cat3_slug: none of the property fields applies. Rows with equal ids repeat. An empty table gives no rows.
     """
-    cases = F.filter(F.array(*[F.when(applies(f) & usable(f).isNull(), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
-    return listings.select("source_row_id", F.explode(cases).alias("field_name"))
+    return listed(listings, {f: applies(f) & usable(f).isNull() for f in fields})
+
+
+def listed(rows: DataFrame, marks: dict[str, Column]) -> DataFrame:
+    """One row (source_row_id, field_name) for each mark that is true."""
+    cases = F.filter(F.array(*[F.when(on, F.lit(f)) for f, on in marks.items()]), lambda x: x.isNotNull())
+    return rows.select("source_row_id", F.explode(cases).alias("field_name"))
 
 
 def missing_sql(table: str = "listings") -> str:

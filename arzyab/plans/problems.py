@@ -23,7 +23,7 @@ def p1_listing_counts(spark, d):
 
 
 def p4_found(spark, d):
-    return missing.missing_fields(table(spark, d, "listings"))
+    return impute.filled_fields(table(spark, d, "listings"))
 
 
 def p4_filled(spark, d):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arzyab.operators import impute, missing, skew, units
+from arzyab.plans import problems
 
 
 def test_statistics_equal_a_plain_grouping(spark):
@@ -58,6 +59,33 @@ def test_mixture_fills_what_belongs_together(listings):
     assert got[2].construction_year == rows[2]["construction_year"] and not got[2].construction_year_filled
 
 
+@pytest.fixture
+def models(monkeypatch):
+    """The models that are fitted while a test runs."""
+    made, fit = [], impute.fit_mixture
+    monkeypatch.setattr(impute, "fit_mixture", lambda *a, **k: made.append(fit(*a, **k)) or made[-1])
+    return made
+
+
+def test_found_fields_are_those_the_converged_mixture_fills(spark, small, models):
+    found = problems.p4_found(spark, small)
+    (model,) = models
+    steps = np.diff(model.loglik) / np.abs(model.loglik[:-1])
+    assert abs(steps[-1]) <= 1e-4 and len(model.loglik) > 10
+    for city in model.levels["city"]:  # a place says no more than where in its city
+        own = [i for p, i in model.levels["place"].items() if p.startswith(f"{city}|")]
+        assert not own or np.allclose(np.exp(model.logp["place"][:, own]).sum(axis=1), 1)
+    want = missing.missing_fields(spark.read.parquet(f"{small}/listings.parquet"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_sizes_and_places_that_are_no_numbers_leave_the_mixture_finite(listings, models):
+    full = {"cat3_slug": "apartment-sell", "city_slug": "c", "neighborhood_slug": "n", "construction_year": "1390", "rooms_count": "یک", "floor": "1"}
+    rows = [{"source_row_id": i, **full, "building_size": s, "location_latitude": s, "location_longitude": s} for i, s in enumerate(["70", "80", "Infinity", "-Infinity", "NaN", "x"])]
+    got = impute.fill_missing(listings([*rows, {"source_row_id": 9, **full, "neighborhood_slug": None, "location_latitude": "70"}]), classes=2)
+    assert {r.neighborhood_slug for r in got.collect()} == {"n"} and np.isfinite(models[0].mean).all()
+
+
 def test_filling_empty_and_hopeless_tables(listings):
     assert impute.fill_missing(listings([]), classes=2, rounds=2).count() == 0
     row = impute.fill_missing(listings([{"source_row_id": 1, "cat3_slug": "apartment-sell", "city_slug": "c"}]), classes=2, rounds=2).first()
