@@ -1,7 +1,8 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy.
+"""A character-level bidirectional LSTM with CRF transitions: training in numpy, inference by a small graph for onnxruntime.
 
 Characters are ids from 1; 0 pads. All functions work on batches (B windows of T characters). Ids are embedded, both directions share
-the embedding. Inference computes the states of training with fewer and wider operations.
+the embedding. The graph is written out by hand from the trained weights; where onnxruntime is absent numpy computes the same with
+fewer and wider operations than in training.
 """
 
 from __future__ import annotations
@@ -53,7 +54,22 @@ class Tagger:
         return Tagger.of([z[f"tagger_{i}"].astype(f32) for i in range(10)])
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_steps"}  # made anew in each process
+        return {k: v for k, v in self.__dict__.items() if k not in ("_steps", "_session")}  # made anew in each process
+
+    def _graph(self):
+        """A session of the graph on one thread; None where onnxruntime is absent."""
+        if "_session" not in self.__dict__:
+            try:
+                import onnxruntime
+            except ImportError:
+                self._session = None
+            else:
+                options = onnxruntime.SessionOptions()
+                options.intra_op_num_threads = options.inter_op_num_threads = 1
+                options.enable_mem_pattern = False  # would be kept for every length
+                options.log_severity_level = 3
+                self._session = onnxruntime.InferenceSession(graph(self), options, providers=["CPUExecutionProvider"])
+        return self._session
 
     def _folded(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per direction: the weights of a step on (twice the state, embedding, one), 4H x (H + E + 1), and those to the tags, K x H.
@@ -70,7 +86,15 @@ class Tagger:
         return self._steps
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """T x B x K; stored as T x K x B."""
+        """T x B x K."""
+        session = self._graph()
+        if session is None:
+            return self.wide_emissions(ids)
+        zero = np.zeros((len(ids), self.left[1].shape[0]), f32)
+        return session.run(None, {"ids": ids.T.astype(np.int32), "zero": zero})[0]
+
+    def wide_emissions(self, ids: np.ndarray) -> np.ndarray:
+        """The same in numpy; stored as T x K x B."""
         b, t = ids.shape
         n, width = self.left[1].shape[0], self.table.shape[1]
         x = np.zeros((t + 2, n + width + 1, b), f32)  # place 1 + i: what the step of character i reads
@@ -134,6 +158,71 @@ class Tagger:
         return out
 
 
+# The graph's file format is protocol buffers: fields of (number, wire type) and a variable-length integer or a length-prefixed string.
+
+
+def _varint(n: int) -> bytes:
+    n &= (1 << 64) - 1
+    out = bytearray()
+    while True:
+        out.append(n & 127 | (128 if n > 127 else 0))
+        n >>= 7
+        if not n:
+            return bytes(out)
+
+
+def _number(field: int, n: int) -> bytes:
+    return _varint(field << 3) + _varint(n)
+
+
+def _block(field: int, content: bytes | str) -> bytes:
+    raw = content.encode() if isinstance(content, str) else content
+    return _varint(field << 3 | 2) + _varint(len(raw)) + raw
+
+
+def graph(m: Tagger) -> bytes:
+    """The network up to the emissions as an ONNX model: ids (T x B), zero (B x H, of zeros) -> emissions (T x B x K).
+
+    Each direction is a Scan over the characters of all rows, with few and wide operations in its body; the LSTM operator works row by
+    row. Embedding, input weights and bias are one row per character. That of padding is zero, as then a state of zeros stays zero: the
+    direction from the right comes to the end of a row as if nothing had been before.
+    """
+    n, k = m.left[1].shape[0], m.out.shape[1]
+
+    def node(op: str, inputs: str, outputs: str, *attributes: bytes) -> bytes:
+        return _block(1, b"".join(_block(1, i) for i in inputs.split()) + b"".join(_block(2, o) for o in outputs.split()) + _block(4, op) + b"".join(_block(5, a) for a in attributes))
+
+    def value(field: int, name: str, kind: int, shape: list) -> bytes:
+        dims = b"".join(_block(1, _block(2, d) if isinstance(d, str) else _number(1, d)) for d in shape)
+        return _block(field, _block(1, name) + _block(2, _block(1, _number(1, kind) + _block(2, dims))))
+
+    def whole(name: str, i: int) -> bytes:
+        return _block(1, name) + _number(3, i) + _number(20, 2)
+
+    def wholes(name: str, i: int) -> bytes:
+        return _block(1, name) + _number(8, i) + _number(20, 7)
+
+    stored = {"sizes": np.array([3 * n, n]), "parts": np.array([n, n, n]), "bias": m.out_bias}
+    scans = []
+    for d, (inputs, recurrent, bias) in enumerate((m.left, m.right)):
+        rows = m.table @ inputs + bias
+        rows[0] = 0.0
+        stored |= {f"rows{d}": rows, f"recurrent{d}": recurrent, f"out{d}": m.out[d * n : (d + 1) * n]}
+        step = (
+            node("Gather", f"rows{d} id", "x"), node("Gemm", f"h recurrent{d} x", "z"), node("Split", "z sizes", "gates cell", whole("axis", 1)),
+            node("Sigmoid", "gates", "open"), node("Split", "open parts", "gi gf go", whole("axis", 1)), node("Tanh", "cell", "gc"),
+            node("Mul", "gf c", "kept"), node("Mul", "gi gc", "new"), node("Add", "kept new", "next_c"),
+            node("Tanh", "next_c", "tc"), node("Mul", "go tc", "next_h"), node("MatMul", f"next_h out{d}", "e"),
+        )
+        ends = (*(value(11, v, 1, ["B", n]) for v in "hc"), value(11, "id", 6, ["B"]), *(value(12, f"next_{v}", 1, ["B", n]) for v in "hc"), value(12, "e", 1, ["B", k]))
+        body = _block(1, "body") + _block(6, b"".join(step) + _block(2, f"step{d}") + b"".join(ends)) + _number(20, 5)
+        scans.append(node("Scan", "zero zero ids", f"h{d} c{d} e{d}", body, whole("num_scan_inputs", 1), wholes("scan_input_directions", d), wholes("scan_output_directions", d)))
+    held = b"".join(_block(5, b"".join(_number(1, d) for d in a.shape) + _number(2, 1 if a.dtype.kind == "f" else 7) + _block(8, name) + _block(9, a.astype(f32 if a.dtype.kind == "f" else np.int64).tobytes())) for name, a in stored.items())
+    main = b"".join(scans) + node("Sum", "e0 e1 bias", "emissions") + _block(2, "tagger") + held
+    main += value(11, "ids", 6, ["T", "B"]) + value(11, "zero", 1, ["B", n]) + value(12, "emissions", 1, ["T", "B", k])
+    return _number(1, 8) + _block(8, _block(1, "") + _number(2, 14)) + _block(7, main)
+
+
 def _run(ids: np.ndarray, mask: np.ndarray, table: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, backward: bool, keep: bool = False):
     """Hidden states B x T x H of one direction; with ``keep`` also what training needs."""
     b, t = ids.shape
